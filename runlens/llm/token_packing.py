@@ -15,6 +15,8 @@ own; equal inputs give equal sequences on every run; an empty table gives an emp
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -31,39 +33,69 @@ END_ID = 2
 #: Remainders a shard packs; a full shard takes seconds and some megabytes.
 SHARD_PIECES = 20_000
 #: Distinct words whose ids a worker keeps; beyond it the cache is emptied, which only costs time.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+
+
+#: Marks that end a word after a letter: tokenised on their own.
+_FINAL_MARK = re.compile(r"[!-/:-@\[-`{-~](?<=[a-zß-öø-ÿ].)[!-/:-@\[-`{-~]*(?=[ \n]|\Z)")
 
 
 class WordTokenizer:
     """Ids of whole texts as little-endian 32-bit bytes, each distinct word tokenised once.
 
     Tokens never cross a space or a newline (white space is dropped before merging), so cutting
-    there changes no id. A file whose pre-tokeniser keeps white space is run on whole texts.
+    there changes no id; nor do they join a letter to a following punctuation mark, or tell case.
+    A file without these traits is run on whole texts.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        probe = "a b\nc  \n d"
-        whole = self.lib.encode(probe, add_special_tokens=False).ids
-        parts = [i for w in probe.split() for i in self.lib.encode(w, add_special_tokens=False).ids]
-        self.splits = whole == parts and not self.lib.encode(" \n", add_special_tokens=False).ids
-
-    def ids(self, text: str) -> bytes:
+        self.cache: dict[str, bytes] = {"": b""}
+        encode = lambda t: self.lib.encode(t, add_special_tokens=False).ids
+        probe = "Ab, b\nCé.  \n d'S; x!"
+        pieces = ["ab", ",", "b", "cé", ".", "d's", ";", "x", "!"]
+        self.splits = encode(probe) == [i for w in pieces for i in encode(w)] and not encode(" \n")
+        size = self.lib.get_vocab_size()
+        self.ends = np.array([(self.lib.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         if not self.splits:
-            return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return [np.asarray(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        words = [self._words(t) for t in texts]
+        new = set().union(*words) - self.cache.keys()
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache = {"": b""}
+            new = set().union(*words)
+        self._learn(list(new))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, w)) for w in words]
+
+    def _words(self, text: str) -> list[str]:
+        """Parts whose ids follow each other; lower case and bare of final marks where that is safe."""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")  # lower case is letter by letter there
+                text = _FINAL_MARK.sub(r" \g<0>", text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, new: list[str]) -> None:
         cache = self.cache
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
-                cache[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+        plain = [w for w in new if w.isalpha()]
+        if plain:  # together: a word's last token carries the end mark
+            got = self.lib.encode_batch_fast([" ".join(plain[i : i + 400]) for i in range(0, len(plain), 400)], add_special_tokens=False)
+            ids = np.concatenate([np.asarray(e.ids, "<u4") for e in got])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(plain):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                cache.update(zip(plain, [raw[i:j] for i, j in zip([0, *ends], ends)]))
+                new = [w for w in new if not w.isalpha()]
+        for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False), strict=True):
+            cache[w] = np.asarray(e.ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -80,8 +112,8 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
     def run(batch: pa.RecordBatch) -> list:
         tok = tokenizer(path)
         rows = []
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            ids = tok.ids(text) + end
+        for doc_id, own in zip(batch["doc_id"].to_pylist(), tok.ids(batch["text"].to_pylist()), strict=True):
+            ids = own + end
             n = len(ids) // 4
             for start in range(0, n, capacity):
                 part = ids[4 * start : 4 * (start + capacity)]

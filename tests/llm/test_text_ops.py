@@ -253,6 +253,15 @@ def test_op6(spark, hard):
     assert token_packing.pack(hard.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_word_ids_random_against_library():
+    tok, rng = token_packing.WordTokenizer(P.path("word_bpe_49k.json")), random.Random(4)
+    assert tok.splits
+    bits = [" ", "\n", "The", "ing", "É", "é", "İ", "Σ", "ß", "日本", "\U0001f600", ".", ",", "a", "'s", "'S", "42", "\t", "\u00a0", "<|endoftext|>", "<|ENDOFTEXT|>", "!?", "ǅ", "e\u0301", "\u0301", "\x1c", "\u2028", "don't", "²", "ª"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in tok.lib.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, tok.ids(texts), want) if a != b] == []
+
+
 def test_best_fit_against_plain_search():
     rng = random.Random(2)
     for cap in (1, 7, 64, 100):
