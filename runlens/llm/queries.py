@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat_format, language_id, ogg_media, pii_spans, piece_codec, token_packing, warc_zst
+from runlens.llm import chat_format, language_id, line_dedup, ogg_media, pii_spans, piece_codec, shingle_join, token_packing, warc_zst, winnowing
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -22,6 +22,14 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.store(table(spark, sf_dir, "documents"))
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join(table(spark, sf_dir, "documents"), words=3, threshold=0.9)
+
+
 def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans.find(table(spark, sf_dir, "documents"))
 
@@ -61,8 +69,16 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, those kept, and the digest of the text that they make."""
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ogg_media, op4_pii_spans, op5_piece_codec, op6_token_packing, op7_warc_zst, op8_language_id, op9_chat_format)
+    f.__name__: f for f in (
+        op1_ogg_media, op2_winnowing, op3_shingle_join, op4_pii_spans, op5_piece_codec, op6_token_packing, op7_warc_zst, op8_language_id, op9_chat_format, op10_line_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
