@@ -52,13 +52,14 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc, pos, the line's digest and its band keys (null where it has no shingles)."""
+    """doc, pos, the line's digest and its band keys (null where it has no shingles).
+
+    One XOR pass serves two permutations: the greatest of x ^ c is the complement of the least of x ^ ~c.
+    """
     hashed = lines.select("doc", "pos", F.unhex(F.md5(F.encode("line", "UTF-8"))).alias("lid"), F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)).alias("h"))
-    least = lambda i: F.array_min(F.transform("h", lambda x: x.bitwiseXOR(F.lit(_constant(i)))))
-    return hashed.select(
-        "doc", "pos", "lid",
-        *(F.when(F.size("h") > 0, F.xxhash64(F.lit(b), *(least(b * rows + r) for r in range(rows)))).alias(f"b{b}") for b in range(bands)),
-    )
+    ends = lambda i: F.get(F.transform(F.array(F.transform("h", lambda x: x.bitwiseXOR(F.lit(_constant(i))))), lambda t: F.array(F.array_min(t), F.array_max(t))), F.lit(0))
+    least = hashed.select("doc", "pos", "lid", F.when(F.size("h") > 0, F.flatten(F.array(*(ends(i) for i in range((bands * rows + 1) // 2))))).alias("m"))
+    return least.select("doc", "pos", "lid", *(F.when(F.col("m").isNotNull(), F.xxhash64(F.lit(b), *(F.get("m", F.lit(b * rows + r)) for r in range(rows)))).alias(f"b{b}") for b in range(bands)))
 
 
 def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -71,13 +72,13 @@ def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     lines = scratch.cut(distinct.select(F.monotonically_increasing_id().alias("uid"), doc_of.alias("doc"), pos_of.alias("pos"), "at", *names))
     keyed = lines.filter("b0 is not null").select("uid", F.explode(F.array(*names)).alias("key"))
     buckets = shared_buckets(scratch, keyed)
-    wanted = scratch.cut(lines.join(small(u := scratch.cut(buckets.select("uid").distinct()), n := u.count()), "uid").select("uid", "doc", "pos"))
-    places = wanted.groupBy("doc").agg(F.collect_list(F.struct("pos", "uid")).alias("places"))
-    texts = _doc(docs).select(F.col(_ID).alias("doc"), F.split("text", "\n").alias("lines")).join(small(places, n), "doc")
-    found = texts.select(F.explode(F.transform("places", lambda p: F.struct(p["uid"].alias("uid"), F.get("lines", p["pos"]).alias("line")))).alias("p")).select("p.uid", F.array_distinct(shingles(F.col("p.line"))).alias("s"))
-    sets = scratch.cut(found.dropDuplicates(["uid"]))
-
     def verify(pairs: DataFrame) -> DataFrame:
+        uids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
+        asked = uids.count()
+        places = lines.join(small(uids, asked), "uid").groupBy("doc").agg(F.collect_list(F.struct("pos", "uid")).alias("places"))
+        texts = _doc(docs).select(F.col(_ID).alias("doc"), F.split("text", "\n").alias("lines")).join(small(places, asked), "doc")
+        found = texts.select(F.explode(F.transform("places", lambda p: F.struct(p["uid"].alias("uid"), F.get("lines", p["pos"]).alias("line")))).alias("p"))
+        sets = scratch.cut(found.select("p.uid", F.array_distinct(shingles(F.col("p.line"))).alias("s")).dropDuplicates(["uid"]))
         x, y = (sets.select(F.col("uid").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
         both = pairs.join(x, "a").join(y, "b")
         common = F.size(F.array_intersect("sa", "sb"))

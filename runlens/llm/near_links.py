@@ -1,9 +1,10 @@
 """Components of a similarity relation, found from buckets of candidates without listing all pairs.
 
-Rows of a bucket are first tested against one hub each, and the components of the links found
-so far are taken; only pairs of a bucket that lie in different components can still add
-anything, so only those are tested, until none is left. A large group of copies thus costs a
-test per row, not per pair, and no link that would join two components is lost.
+Rows of a bucket are first tested against one hub, and the components of the links found so far
+are taken; rows outside their bucket's commonest component are then tested against a few
+hubs of that component. Only pairs of a bucket that still lie in different components can
+add anything, and all of those are tested in the end. A large group of copies thus costs some
+tests per row, not per pair, and no link that would join two components is lost.
 
 DataFrame functions alone; no group is gathered in one task and nothing but counts reaches the driver.
 """
@@ -19,6 +20,8 @@ from runlens.llm.scratch import Scratch
 
 #: Rows of a side that may be broadcast, at most (two long columns: some tens of megabytes).
 BROADCAST_ROWS = 400_000
+#: Hubs of a bucket in each round before the last, which takes all pairs left.
+HUBS = (1, 8, 24)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -66,7 +69,7 @@ def linked_components(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     may_link: Callable[[str, str], F.Column] | None = None,
-    hub_rounds: int = 2,
+    hubs: tuple[int, ...] = HUBS,
 ) -> DataFrame:
     """(uid, root) for rows linked to another one.
 
@@ -77,29 +80,31 @@ def linked_components(
     side = lambda df, p: df.select("key", *(F.col(c).alias(f"{p}{c}") for c in ["uid", *extra, "root"]))
     links = tested = None
     labelled = buckets.withColumn("root", F.col("uid"))
-    for turn in range(hub_rounds + 1):
-        if turn < hub_rounds:
-            hub = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", *extra, "root")).alias("s"))
-            left = side(hub.select("key", "s.*"), "x_")
-        else:
+    for turn in range(len(hubs) + 1):
+        last = turn == len(hubs)
+        if last:
             left = side(labelled, "x_")
-        pairs = left.join(side(labelled, "y_"), "key").filter("x_root != y_root and x_uid != y_uid" + (" and x_uid < y_uid" if turn == hub_rounds else ""))
+        else:
+            pool = labelled
+            if turn:
+                pool = pool.join(pool.groupBy("key").agg(F.mode("root", True).alias("root")), ["key", "root"])
+            order = F.xxhash64("uid", F.lit(turn))
+            best = pool.groupBy("key", F.pmod(order, F.lit(hubs[turn])).alias("slot")).agg(F.min(F.struct(order.alias("h"), "uid", *extra, "root")).alias("s"))
+            left = side(best.select("key", "s.*"), "x_")
+        pairs = left.join(side(labelled, "y_"), "key").filter("x_root != y_root and x_uid != y_uid" + (" and x_uid < y_uid" if last else ""))
         if may_link is not None:
             pairs = pairs.filter(may_link("x_", "y_"))
         pairs = pairs.select(F.least("x_uid", "y_uid").alias("a"), F.greatest("x_uid", "y_uid").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.cut(pairs)
-        count = pairs.count()
-        if not count:
-            if turn == 0:
-                continue
-            break
+        if not pairs.count():
+            continue
         tested = pairs if tested is None else tested.unionAll(pairs)
         found = scratch.cut(verify(pairs))
         links = found if links is None else links.unionAll(found)
         roots = components(scratch, links)
-        if turn < hub_rounds:
+        if not last:
             labelled = scratch.cut(buckets.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
             mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
             labelled = scratch.cut(labelled.join(mixed, "key", "left_semi"))

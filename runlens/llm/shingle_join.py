@@ -161,7 +161,7 @@ def index_rows(scratch: Scratch, rows: DataFrame, threshold: float, frequent: in
 
 
 def verified(docs: DataFrame, places: DataFrame, words: int, threshold: float, scratch: Scratch):
-    """The check on whole sets; ``places``: (uid, doc_id, sig) of the rows that may be asked for."""
+    """The check of pairs on whole sets, worked out for the rows asked for; ``places``: (uid, doc_id, sig)."""
 
     def run(batch: pa.RecordBatch) -> list:
         uid, out = batch["uid"].to_pylist(), []
@@ -171,9 +171,6 @@ def verified(docs: DataFrame, places: DataFrame, words: int, threshold: float, s
                 out.append((u, s.tobytes()))
         return list(map(list, zip(*out, strict=True))) if out else [[], []]
 
-    asked = docs.select("doc_id", "text").join(small(places, places.count()), "doc_id")
-    whole = scratch.cut(map_rows(asked.select("uid", "sig", "text"), run, "uid bigint, tokens binary").dropDuplicates(["uid"]))
-
     def check(batches):
         for batch in batches:
             keep = []
@@ -185,6 +182,10 @@ def verified(docs: DataFrame, places: DataFrame, words: int, threshold: float, s
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        uids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
+        asked = uids.count()
+        wanted = docs.select("doc_id", "text").join(small(places.join(small(uids, asked), "uid"), asked), "doc_id")
+        whole = scratch.cut(map_rows(wanted.select("uid", "sig", "text"), run, "uid bigint, tokens binary").dropDuplicates(["uid"]))
         x, y = (whole.select(F.col("uid").alias(k), F.col("tokens").alias(f"s{k}")) for k in "ab")
         return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint")
 
@@ -209,7 +210,6 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
     whole = prefixes(docs, words, threshold, frequent_tokens).join(classes.select("uid", F.col("first").alias("doc_id"), "sig", "n"), same).dropDuplicates(["uid"])
     rows = scratch.cut(whole.select("uid", "n", F.posexplode("prefix").alias("pos", "token")))
     buckets = shared_buckets(scratch, index_rows(scratch, rows, threshold, frequent, combined))
-    asked = scratch.cut(ids.join(buckets.select("uid").distinct(), "uid", "left_semi"))
 
     def may_link(x: str, y: str) -> F.Column:
         """Sizes within the threshold, and enough tokens left from the first shared one on.
@@ -221,7 +221,7 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
         need = F.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
         return (F.least(nx, ny) >= F.greatest(nx, ny) * threshold - 1e-9) & (F.least(nx - F.col(f"{x}pos"), ny - F.col(f"{y}pos")) + 1 >= need)
 
-    roots = scratch.cut(linked_components(scratch, buckets, verified(docs, asked, words, threshold, scratch), may_link))
+    roots = scratch.cut(linked_components(scratch, buckets, verified(docs, ids, words, threshold, scratch), may_link))
     named = classes.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.cut(named.join(least, "root").select("sig", "component_id", "copies"))
