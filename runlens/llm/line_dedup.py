@@ -21,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.near_links import linked_components, shared_buckets, small
+from runlens.llm.near_links import linked_components, may_differ, shared_buckets, small
 from runlens.llm.scratch import Scratch
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 12, 0.8, 8, 3
 STEP = 6
+#: 64-bit words of a line's parity sketch.
+SKETCH = 4
 _ID = "__line_doc"
 
 
@@ -72,19 +74,25 @@ def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     lines = scratch.cut(distinct.select(F.monotonically_increasing_id().alias("uid"), doc_of.alias("doc"), pos_of.alias("pos"), "at", *names))
     keyed = lines.filter("b0 is not null").select("uid", F.explode(F.array(*names)).alias("key"))
     buckets = shared_buckets(scratch, keyed)
+    uids = scratch.cut(buckets.select("uid").distinct())
+    asked = uids.count()
+    places = lines.join(small(uids, asked), "uid").groupBy("doc").agg(F.collect_list(F.struct("pos", "uid")).alias("places"))
+    texts = _doc(docs).select(F.col(_ID).alias("doc"), F.split("text", "\n").alias("lines")).join(small(places, asked), "doc")
+    found = texts.select(F.explode(F.transform("places", lambda p: F.struct(p["uid"].alias("uid"), F.get("lines", p["pos"]).alias("line")))).alias("p"))
+    sets = scratch.cut(found.select("p.uid", F.array_distinct(shingles(F.col("p.line"))).alias("s")).dropDuplicates(["uid"]))
+    bits = F.transform("s", lambda x: F.xxhash64(x, F.lit("parity")))
+    word = lambda w: F.aggregate(F.filter("bits", lambda x: F.pmod(F.shiftright(x, 8), F.lit(SKETCH)) == w), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)).cast("int"))))
+    names = [f"s{w}" for w in range(SKETCH)]
+    sketches = scratch.cut(sets.select("uid", F.size("s").alias("n"), bits.alias("bits")).select("uid", "n", *(word(w).alias(c) for w, c in enumerate(names))))
+    buckets = scratch.cut(buckets.join(small(sketches, asked), "uid"))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        uids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
-        asked = uids.count()
-        places = lines.join(small(uids, asked), "uid").groupBy("doc").agg(F.collect_list(F.struct("pos", "uid")).alias("places"))
-        texts = _doc(docs).select(F.col(_ID).alias("doc"), F.split("text", "\n").alias("lines")).join(small(places, asked), "doc")
-        found = texts.select(F.explode(F.transform("places", lambda p: F.struct(p["uid"].alias("uid"), F.get("lines", p["pos"]).alias("line")))).alias("p"))
-        sets = scratch.cut(found.select("p.uid", F.array_distinct(shingles(F.col("p.line"))).alias("s")).dropDuplicates(["uid"]))
         x, y = (sets.select(F.col("uid").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
         both = pairs.join(x, "a").join(y, "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.filter(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    roots = linked_components(scratch, buckets, verify)
+    roots = linked_components(scratch, buckets, verify, lambda x, y: may_differ(x, y, names, threshold))
     first = lines.join(small(roots, roots.count()), "uid", "left").groupBy(F.coalesce("root", "uid").alias("root")).agg(F.min("at").alias("at"))
     return first.select(doc_of.alias("doc"), pos_of.alias("pos"))
 

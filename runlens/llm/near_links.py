@@ -21,7 +21,7 @@ from runlens.llm.scratch import Scratch
 #: Rows of a side that may be broadcast, at most (two long columns: some tens of megabytes).
 BROADCAST_ROWS = 400_000
 #: Hubs of a bucket in each round before the last, which takes all pairs left.
-HUBS = (1, 8, 24)
+HUBS = (1, 8)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -29,6 +29,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def may_differ(x: str, y: str, sketch: list[str], threshold: float) -> F.Column:
+    """Whether two sets can have the likeness, by sizes ``n`` and parity sketches: an exact bound.
+
+    A sketch has a bit for each of many buckets of members: the parity of those of the set. Each bit that
+    differs stands for a member of one set only, of which linked sets have (1-t)/(1+t) of their sizes' sum at most.
+    """
+    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+    differ = sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in sketch), F.lit(0))
+    return (F.least(nx, ny) >= F.greatest(nx, ny) * threshold - 1e-9) & (differ <= (nx + ny) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
 def state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 

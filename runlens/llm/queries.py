@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from runlens.llm import chat_format, language_id, line_dedup, ogg_media, pii_spans, piece_codec, shingle_join, token_packing, warc_zst, winnowing
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -81,4 +82,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+
+_ESCAPED = "coalesce(text, '')"
+for _plain, _code in chat_format.Template().codes():
+    _ESCAPED = f"replace({_ESCAPED}, '{_plain}', '{_code}')"
+
+#: Only the chat query is expressible; the others are tested against brute force, round trips or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat_format": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, r)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum(length({_ESCAPED}) + length(role) + 24)::BIGINT AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+}

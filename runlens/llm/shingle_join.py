@@ -6,8 +6,8 @@ documents. The order here puts tokens known as frequent last, then goes by hash.
 the prefixes that stay frequent are indexed in combinations of two (the prefix is extended by one
 for that), rare ones alone; a shared prefix holds a rare token or two frequent ones, so
 nothing is missed. Sets too large for combinations index frequent tokens alone; where the two
-rules meet, sets do both. Candidates pass exact bounds by size and position, and are verified
-on their whole sets.
+rules meet, sets do both. Candidates pass exact bounds by size, position and parity sketch, and
+are verified on their whole sets.
 
 Equal sets are one class from the start, and a bucket's rows are tested hub by hub (see
 ``near_links``), so a group of copies is never expanded into pairs.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.near_links import linked_components, shared_buckets, small
+from runlens.llm.near_links import linked_components, may_differ, shared_buckets, small
 from runlens.llm.rows import map_rows, texts
 from runlens.llm.scratch import Scratch
 
@@ -41,6 +41,10 @@ LISTED_TOKENS = 1_000_000
 #: Longest prefix whose frequent tokens are combined.
 COMBINED_PREFIX = 12
 
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
+
 _LOWER = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,7 +116,7 @@ def sets(docs: DataFrame, words: int, threshold: float) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, words: int, threshold: float, frequent: np.ndarray) -> DataFrame:
-    """sig, n and the extended prefix of every set."""
+    """doc_id, the digest, the extended prefix and the parity sketch of every set."""
     listed = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batch: pa.RecordBatch) -> list:
@@ -120,10 +124,11 @@ def prefixes(docs: DataFrame, words: int, threshold: float, frequent: np.ndarray
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
             s = shingle_set(text.as_buffer().to_pybytes() if text.is_valid else b"", words)
             if len(s):
-                rows.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), ordered(s, low)[: prefix_size(len(s), threshold, 2)].view(np.int64)))
-        return list(map(list, zip(*rows, strict=True))) if rows else [[], [], []]
+                parity = np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64)
+                rows.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), ordered(s, low)[: prefix_size(len(s), threshold, 2)].view(np.int64), *parity.tolist()))
+        return list(map(list, zip(*rows, strict=True))) if rows else [[]] * (3 + SKETCH)
 
-    return map_rows(texts(docs), run, "doc_id bigint, sig binary, prefix array<bigint>")
+    return map_rows(texts(docs), run, "doc_id bigint, sig binary, prefix array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCHES))
 
 
 def listed_tokens(tokens: DataFrame, frequent: int, most: int) -> np.ndarray:
@@ -207,9 +212,12 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
     same = ["doc_id", "sig"]
     low = meta.filter("n > 0").select("doc_id", "sig", "low").join(ids, same, "left_semi").dropDuplicates(same)
     frequent_tokens = listed_tokens(low.select(F.explode("low").alias("token")), frequent, listed)
-    whole = prefixes(docs, words, threshold, frequent_tokens).join(classes.select("uid", F.col("first").alias("doc_id"), "sig", "n"), same).dropDuplicates(["uid"])
-    rows = scratch.cut(whole.select("uid", "n", F.posexplode("prefix").alias("pos", "token")))
+    held = prefixes(docs, words, threshold, frequent_tokens).join(classes.select("uid", F.col("first").alias("doc_id"), "sig", "n"), same)
+    whole = scratch.cut(held.drop("sig", "doc_id").dropDuplicates(["uid"]))
+    rows = whole.select("uid", "n", F.posexplode("prefix").alias("pos", "token"))
     buckets = shared_buckets(scratch, index_rows(scratch, rows, threshold, frequent, combined))
+    sketches = whole.select("uid", *SKETCHES)
+    buckets = scratch.cut(buckets.join(small(sketches, whole.count()), "uid"))
 
     def may_link(x: str, y: str) -> F.Column:
         """Sizes within the threshold, and enough tokens left from the first shared one on.
@@ -219,7 +227,7 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
         """
         nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
         need = F.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
-        return (F.least(nx, ny) >= F.greatest(nx, ny) * threshold - 1e-9) & (F.least(nx - F.col(f"{x}pos"), ny - F.col(f"{y}pos")) + 1 >= need)
+        return may_differ(x, y, SKETCHES, threshold) & (F.least(nx - F.col(f"{x}pos"), ny - F.col(f"{y}pos")) + 1 >= need)
 
     roots = scratch.cut(linked_components(scratch, buckets, verified(docs, ids, words, threshold, scratch), may_link))
     named = classes.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
