@@ -1,8 +1,8 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame functions alone.
 
 Lines are cut at newlines. Equal lines are one by digest. A line's set holds the
-character shingles of SHINGLE characters that begin at a word or at every sixth letter of a
-longer word; anchoring them makes a set a sixth as large without tying it to positions. Its
+character shingles of SHINGLE characters that begin at a word or at every STEP-th letter of a
+longer word, so they cover the line; anchoring them makes a set a sixth as large without tying it to positions. Its
 signature is the least hash under each of 24 permutations (XOR with fixed 64-bit values: over
 evenly spread hashes the least of x ^ c falls on each member alike), banded by 3 in 8 bands: a
 pair at 0.8 shares a band with a probability of 0.997. Candidates are verified by the exact
@@ -25,7 +25,7 @@ from runlens.llm.near_links import linked_components, may_differ, shared_buckets
 from runlens.llm.scratch import Scratch
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 12, 0.8, 8, 3
-STEP = 6
+STEP = 12
 #: 64-bit words of a line's parity sketch.
 SKETCH = 4
 _ID = "__line_doc"
@@ -73,7 +73,9 @@ def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     pos_of = F.pmod(F.col("at"), F.lit(1 << 32).cast("decimal(11,0)")).cast("int")
     lines = scratch.cut(distinct.select(F.monotonically_increasing_id().alias("uid"), doc_of.alias("doc"), pos_of.alias("pos"), "at", *names))
     keyed = lines.filter("b0 is not null").select("uid", F.explode(F.array(*names)).alias("key"))
+    scratch.release()
     buckets = shared_buckets(scratch, keyed)
+    scratch.release()
     uids = scratch.cut(buckets.select("uid").distinct())
     asked = uids.count()
     places = lines.join(small(uids, asked), "uid").groupBy("doc").agg(F.collect_list(F.struct("pos", "uid")).alias("places"))

@@ -1,8 +1,7 @@
 """Components of a similarity relation, found from buckets of candidates without listing all pairs.
 
-Rows of a bucket are first tested against one hub, and the components of the links found so far
-are taken; rows outside their bucket's commonest component are then tested against a few
-hubs of that component. Only pairs of a bucket that still lie in different components can
+Rows of a bucket are first tested against a few hubs, and the components of the links found so far
+are taken (further rounds may take hubs of the bucket's commonest component). Only pairs of a bucket that still lie in different components can
 add anything, and all of those are tested in the end. A large group of copies thus costs some
 tests per row, not per pair, and no link that would join two components is lost.
 
@@ -21,7 +20,7 @@ from runlens.llm.scratch import Scratch
 #: Rows of a side that may be broadcast, at most (two long columns: some tens of megabytes).
 BROADCAST_ROWS = 400_000
 #: Hubs of a bucket in each round before the last, which takes all pairs left.
-HUBS = (1, 8)
+HUBS = (4,)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -115,6 +114,7 @@ def linked_components(
         found = scratch.cut(verify(pairs))
         links = found if links is None else links.unionAll(found)
         roots = components(scratch, links)
+        scratch.release()
         if not last:
             labelled = scratch.cut(buckets.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
             mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")

@@ -6,6 +6,7 @@ loss of executors, are compressed, and carry sizes that the adaptive planner can
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,8 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._runlens_path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()

@@ -212,10 +212,16 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
     same = ["doc_id", "sig"]
     low = meta.filter("n > 0").select("doc_id", "sig", "low").join(ids, same, "left_semi").dropDuplicates(same)
     frequent_tokens = listed_tokens(low.select(F.explode("low").alias("token")), frequent, listed)
+    slim = scratch.cut(meta.select("doc_id", "n", "sig"))
+    scratch.drop(meta)
+    del low
+    scratch.release()
     held = prefixes(docs, words, threshold, frequent_tokens).join(classes.select("uid", F.col("first").alias("doc_id"), "sig", "n"), same)
     whole = scratch.cut(held.drop("sig", "doc_id").dropDuplicates(["uid"]))
     rows = whole.select("uid", "n", F.posexplode("prefix").alias("pos", "token"))
     buckets = shared_buckets(scratch, index_rows(scratch, rows, threshold, frequent, combined))
+    del held, rows
+    scratch.release()
     sketches = whole.select("uid", *SKETCHES)
     buckets = scratch.cut(buckets.join(small(sketches, whole.count()), "uid"))
 
@@ -233,7 +239,7 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
     named = classes.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.cut(named.join(least, "root").select("sig", "component_id", "copies"))
-    out = meta.select("doc_id", "n", "sig").join(named, "sig", "left")
+    out = slim.join(named, "sig", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
