@@ -42,7 +42,7 @@ LISTED_TOKENS = 1_000_000
 COMBINED_PREFIX = 12
 
 #: 64-bit words of a set's parity sketch.
-SKETCH = 8
+SKETCH = 4
 SKETCHES = [f"s{i}" for i in range(SKETCH)]
 
 _LOWER = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -92,6 +92,22 @@ def prefix_size(n: int, threshold: float, k: int = 1) -> int:
     return min(n, n - math.ceil(threshold * n - 1e-9) + k)
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes:
+    """Parity bits in number about half the set's size: a power of two, 512 at least."""
+    bits = 1 << max(9, (len(tokens) // 2).bit_length())
+    return np.packbits(np.bincount((tokens >> np.uint64(30) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the other's length (parities add up)."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        half = len(x) // 2
+        x = (int.from_bytes(x[:half], "big") ^ int.from_bytes(x[half:], "big")).to_bytes(half, "big")
+    return (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
+
+
 def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Sorted tokens in the common order: those listed as frequent last."""
     if not len(frequent):
@@ -116,7 +132,7 @@ def sets(docs: DataFrame, words: int, threshold: float) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, words: int, threshold: float, frequent: np.ndarray) -> DataFrame:
-    """doc_id, the digest, the extended prefix and the parity sketch of every set."""
+    """doc_id, the digest, the extended prefix and the parity sketches of every set."""
     listed = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batch: pa.RecordBatch) -> list:
@@ -125,10 +141,10 @@ def prefixes(docs: DataFrame, words: int, threshold: float, frequent: np.ndarray
             s = shingle_set(text.as_buffer().to_pybytes() if text.is_valid else b"", words)
             if len(s):
                 parity = np.packbits(np.bincount((s >> np.uint64(20) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).view(np.int64)
-                rows.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), ordered(s, low)[: prefix_size(len(s), threshold, 2)].view(np.int64), *parity.tolist()))
-        return list(map(list, zip(*rows, strict=True))) if rows else [[]] * (3 + SKETCH)
+                rows.append((doc_id, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), ordered(s, low)[: prefix_size(len(s), threshold, 2)].view(np.int64), wide_sketch(s), *parity.tolist()))
+        return list(map(list, zip(*rows, strict=True))) if rows else [[]] * (4 + SKETCH)
 
-    return map_rows(texts(docs), run, "doc_id bigint, sig binary, prefix array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCHES))
+    return map_rows(texts(docs), run, "doc_id bigint, sig binary, prefix array<bigint>, wide binary, " + ", ".join(f"{c} bigint" for c in SKETCHES))
 
 
 def listed_tokens(tokens: DataFrame, frequent: int, most: int) -> np.ndarray:
@@ -165,8 +181,12 @@ def index_rows(scratch: Scratch, rows: DataFrame, threshold: float, frequent: in
     return alone.unionAll(pairs.select(F.xxhash64("token", "y.token", F.lit("pair")).alias("key"), "uid", "n", "pos"))
 
 
-def verified(docs: DataFrame, places: DataFrame, words: int, threshold: float, scratch: Scratch):
-    """The check of pairs on whole sets, worked out for the rows asked for; ``places``: (uid, doc_id, sig)."""
+def verified(docs: DataFrame, places: DataFrame, wide: DataFrame, words: int, threshold: float, scratch: Scratch):
+    """The check of pairs: by wide sketches first, then on whole sets, worked out for the rows still asked for.
+
+    ``places``: (uid, doc_id, sig); ``wide``: (uid, n, wide). A wide sketch has half a bit for a token, a
+    hundredth of the set's bytes, and bounds the likeness as the small ones do.
+    """
 
     def run(batch: pa.RecordBatch) -> list:
         uid, out = batch["uid"].to_pylist(), []
@@ -176,6 +196,13 @@ def verified(docs: DataFrame, places: DataFrame, words: int, threshold: float, s
                 out.append((u, s.tobytes()))
         return list(map(list, zip(*out, strict=True))) if out else [[], []]
 
+    def plausible(batches):
+        most = (1 - threshold) / (1 + threshold)
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("na", "nb", "wa", "wb"))
+            keep = [differing_bits(x, y) <= (m + n) * most + 1e-9 for m, n, x, y in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def check(batches):
         for batch in batches:
             keep = []
@@ -187,12 +214,14 @@ def verified(docs: DataFrame, places: DataFrame, words: int, threshold: float, s
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        x, y = (wide.select(F.col("uid").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}")) for k in "ab")
+        pairs = scratch.cut(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(plausible, "a bigint, b bigint"))
         uids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
         asked = uids.count()
         wanted = docs.select("doc_id", "text").join(small(places.join(small(uids, asked), "uid"), asked), "doc_id")
-        whole = scratch.cut(map_rows(wanted.select("uid", "sig", "text"), run, "uid bigint, tokens binary").dropDuplicates(["uid"]))
+        whole = scratch.cut(map_rows(wanted.select("uid", "sig", "text"), run, "uid bigint, tokens binary"))
         x, y = (whole.select(F.col("uid").alias(k), F.col("tokens").alias(f"s{k}")) for k in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct()
 
     return verify
 
@@ -235,7 +264,7 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
         need = F.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
         return may_differ(x, y, SKETCHES, threshold) & (F.least(nx - F.col(f"{x}pos"), ny - F.col(f"{y}pos")) + 1 >= need)
 
-    roots = scratch.cut(linked_components(scratch, buckets, verified(docs, ids, words, threshold, scratch), may_link))
+    roots = scratch.cut(linked_components(scratch, buckets, verified(docs, ids, whole.select("uid", "n", "wide"), words, threshold, scratch), may_link))
     named = classes.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.cut(named.join(least, "root").select("sig", "component_id", "copies"))
