@@ -105,7 +105,10 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     Blank lines count as kept.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    kept = kept_lines(docs, scratch, **options).groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_list("pos")).alias("__kept"))
+    chosen = scratch.cut(kept_lines(docs, scratch, **options))
+    scratch.only(chosen)
+    scratch.release()
+    kept = chosen.groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_list("pos")).alias("__kept"))
     split = F.split("text", "\n")
     joined = _doc(docs).join(kept, F.col(_ID) == F.col("__doc"), "left").withColumn("__lines", split)
     blank = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.get("__lines", i).rlike(r"^\s*$"))

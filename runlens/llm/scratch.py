@@ -29,7 +29,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        self.paths: set[str] = set()
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the table read back: recovery restarts from here."""
@@ -37,14 +37,22 @@ class Scratch:
         path = f"{self.base}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths.add(path)
         out._runlens_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._runlens_path)
+        self._delete(df._runlens_path)
+
+    def only(self, *kept: DataFrame) -> None:
+        """Delete every table of this call but ``kept``."""
+        for path in {*self.paths} - {df._runlens_path for df in kept}:
+            self._delete(path)
+
+    def _delete(self, where: str) -> None:
+        self.paths.discard(where)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
     def release(self) -> None:

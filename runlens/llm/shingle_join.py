@@ -268,6 +268,8 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
     named = classes.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.cut(named.join(least, "root").select("sig", "component_id", "copies"))
+    scratch.only(slim, named)
+    scratch.release()
     out = slim.join(named, "sig", "left")
     return out.select(
         "doc_id",

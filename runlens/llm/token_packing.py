@@ -33,7 +33,7 @@ END_ID = 2
 #: Remainders a shard packs; a full shard takes seconds and some megabytes.
 SHARD_PIECES = 20_000
 #: Distinct words whose ids a worker keeps; beyond it the cache is emptied, which only costs time.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 
 #: Marks that end a word after a letter: tokenised on their own.
