@@ -46,6 +46,11 @@ def _doc(df: DataFrame) -> DataFrame:
     return df.withColumn(_ID, F.coalesce("doc_id", F.lit(-(1 << 63))))
 
 
+def _place() -> Column:
+    """One number that orders lines by document, then position."""
+    return F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """doc, pos (0-based) and text of every line that is not blank."""
     return (
@@ -54,21 +59,26 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc, pos, the line's digest and its band keys (null where it has no shingles).
+    """Per distinct line: its digest, its first place and its band keys (null where it has no shingles).
 
-    One XOR pass serves two permutations: the greatest of x ^ c is the complement of the least of x ^ ~c.
+    Shingles become rows, so each permutation's least hash is a plain aggregate in generated code,
+    combined before the shuffle. One XOR serves two permutations: the greatest of x ^ c is the
+    complement of the least of x ^ ~c.
     """
-    hashed = lines.select("doc", "pos", F.unhex(F.md5(F.encode("line", "UTF-8"))).alias("lid"), F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)).alias("h"))
-    ends = lambda i: F.get(F.transform(F.array(F.transform("h", lambda x: x.bitwiseXOR(F.lit(_constant(i))))), lambda t: F.array(F.array_min(t), F.array_max(t))), F.lit(0))
-    least = hashed.select("doc", "pos", "lid", F.when(F.size("h") > 0, F.flatten(F.array(*(ends(i) for i in range((bands * rows + 1) // 2))))).alias("m"))
-    return least.select("doc", "pos", "lid", *(F.when(F.col("m").isNotNull(), F.xxhash64(F.lit(b), *(F.get("m", F.lit(b * rows + r)) for r in range(rows)))).alias(f"b{b}") for b in range(bands)))
+    placed = lines.select(F.unhex(F.md5(F.encode("line", "UTF-8"))).alias("lid"), _place().alias("at"), "line")
+    hashed = placed.select("lid", "at", F.posexplode_outer(shingles(F.col("line"))).alias("i", "s")).select(
+        "lid", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("at")).alias("at"), F.when(F.col("s").isNotNull(), F.xxhash64("s")).alias("h")
+    )
+    ends = [end(F.col("h").bitwiseXOR(F.lit(_constant(i)))).alias(f"m{2 * i + e}") for i in range((bands * rows + 1) // 2) for e, end in enumerate((F.min, F.max))]
+    least = hashed.groupBy("lid").agg(F.min("at").alias("at"), *ends)
+    key = lambda b: F.when(F.col("m0").isNotNull(), F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))))
+    return least.select("lid", "at", *(key(b).alias(f"b{b}") for b in range(bands)))
 
 
 def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc, pos) of the line kept of every component."""
-    at = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")
     names = [f"b{b}" for b in range(bands)]
-    distinct = signatures(line_rows(docs), bands, rows).groupBy("lid").agg(F.min(at).alias("at"), *(F.first(b).alias(b) for b in names))
+    distinct = signatures(line_rows(docs), bands, rows)
     doc_of = F.floor(F.col("at") / F.lit(1 << 32).cast("decimal(11,0)")).cast("bigint")
     pos_of = F.pmod(F.col("at"), F.lit(1 << 32).cast("decimal(11,0)")).cast("int")
     lines = scratch.cut(distinct.select(F.monotonically_increasing_id().alias("uid"), doc_of.alias("doc"), pos_of.alias("pos"), "at", *names))
