@@ -54,7 +54,7 @@ def _place() -> Column:
 def line_rows(docs: DataFrame) -> DataFrame:
     """doc, pos (0-based) and text of every line that is not blank."""
     return (
-        _doc(docs).select(F.col(_ID).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(~F.col("line").rlike(r"^\s*$"))
+        _doc(docs).select(F.col(_ID).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"\S"))
     )
 
 
@@ -65,7 +65,7 @@ def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     combined before the shuffle. One XOR serves two permutations: the greatest of x ^ c is the
     complement of the least of x ^ ~c.
     """
-    placed = lines.select(F.unhex(F.md5(F.encode("line", "UTF-8"))).alias("lid"), _place().alias("at"), "line")
+    placed = lines.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("lid"), _place().alias("at"), "line")
     hashed = placed.select("lid", "at", F.posexplode_outer(shingles(F.col("line"))).alias("i", "s")).select(
         "lid", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("at")).alias("at"), F.when(F.col("s").isNotNull(), F.xxhash64("s")).alias("h")
     )
@@ -88,14 +88,14 @@ def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     scratch.release()
     uids = scratch.cut(buckets.select("uid").distinct())
     asked = uids.count()
-    places = lines.join(small(uids, asked), "uid").groupBy("doc").agg(F.collect_list(F.struct("pos", "uid")).alias("places"))
+    places = lines.join(small(uids, asked), "uid").groupBy("doc").agg(F.collect_list(F.struct("pos", "uid", F.array(*names).alias("keys"))).alias("places"))
     texts = _doc(docs).select(F.col(_ID).alias("doc"), F.split("text", "\n").alias("lines")).join(small(places, asked), "doc")
-    found = texts.select(F.explode(F.transform("places", lambda p: F.struct(p["uid"].alias("uid"), F.get("lines", p["pos"]).alias("line")))).alias("p"))
-    sets = scratch.cut(found.select("p.uid", F.array_distinct(shingles(F.col("p.line"))).alias("s")).dropDuplicates(["uid"]))
+    found = texts.select(F.explode(F.transform("places", lambda p: F.struct(p["uid"].alias("uid"), p["keys"].alias("keys"), F.get("lines", p["pos"]).alias("line")))).alias("p"))
+    sets = scratch.cut(found.select("p.uid", "p.keys", F.array_distinct(shingles(F.col("p.line"))).alias("s")).dropDuplicates(["uid"]))
     bits = F.transform("s", lambda x: F.xxhash64(x, F.lit("parity")))
     word = lambda w: F.aggregate(F.filter("bits", lambda x: F.pmod(F.shiftright(x, 8), F.lit(SKETCH)) == w), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)).cast("int"))))
     names = [f"s{w}" for w in range(SKETCH)]
-    sketches = scratch.cut(sets.select("uid", F.size("s").alias("n"), bits.alias("bits")).select("uid", "n", *(word(w).alias(c) for w, c in enumerate(names))))
+    sketches = scratch.cut(sets.select("uid", "keys", F.size("s").alias("n"), bits.alias("bits")).select("uid", "keys", "n", *(word(w).alias(c) for w, c in enumerate(names))))
     buckets = scratch.cut(buckets.join(small(sketches, asked), "uid"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
         common = F.size(F.array_intersect("sa", "sb"))
         return both.filter(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    roots = linked_components(scratch, buckets, verify, lambda x, y: may_differ(x, y, names, threshold))
+    roots = linked_components(scratch, buckets, verify, lambda x, y: may_differ(x, y, names, threshold), bands=bands)
     first = lines.join(small(roots, roots.count()), "uid", "left").groupBy(F.coalesce("root", "uid").alias("root")).agg(F.min("at").alias("at"))
     return first.select(doc_of.alias("doc"), pos_of.alias("pos"))
 
@@ -121,7 +121,7 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     kept = chosen.groupBy(F.col("doc").alias("__doc")).agg(F.array_sort(F.collect_list("pos")).alias("__kept"))
     split = F.split("text", "\n")
     joined = _doc(docs).join(kept, F.col(_ID) == F.col("__doc"), "left").withColumn("__lines", split)
-    blank = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.get("__lines", i).rlike(r"^\s*$"))
+    blank = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: ~F.get("__lines", i).rlike(r"\S"))
     places = F.array_sort(F.concat(F.coalesce("__kept", F.array().cast("array<int>")), blank))
     text = F.array_join(F.transform("__places", lambda i: F.get("__lines", i)), "\n")
     out = joined.withColumn("__places", places)

@@ -80,20 +80,25 @@ def linked_components(
     verify: Callable[[DataFrame], DataFrame],
     may_link: Callable[[str, str], F.Column] | None = None,
     hubs: tuple[int, ...] = HUBS,
+    bands: int = 0,
 ) -> DataFrame:
     """(uid, root) for rows linked to another one.
 
     ``buckets``: (key, uid, ...) where linked rows share a key. ``verify``: pairs (a, b), a < b, to
     those that link. ``may_link``: an exact bound on two bucket rows (column prefixes) that rules pairs out.
+    ``bands``: the length of the column ``keys``, a row's key in each band, if the buckets have it; the last round
+    then makes a pair in the first bucket it shares alone. (Rows of different components lose no bucket before that.)
     """
-    extra = [c for c in buckets.columns if c not in ("key", "uid")]
-    side = lambda df, p: df.select("key", *(F.col(c).alias(f"{p}{c}") for c in ["uid", *extra, "root"]))
+    extra = [c for c in buckets.columns if c not in ("key", "uid", "keys")]
+    side = lambda df, p, more=(): df.select("key", *(F.col(c).alias(f"{p}{c}") for c in ["uid", *extra, "root", *more]))
+    own = ("keys",) if bands else ()
+    shared = F.coalesce(*(F.when(F.get("x_keys", F.lit(b)) == F.get("y_keys", F.lit(b)), F.get("x_keys", F.lit(b))) for b in range(bands))) if bands else None
     links = tested = None
     labelled = buckets.withColumn("root", F.col("uid"))
     for turn in range(len(hubs) + 1):
         last = turn == len(hubs)
         if last:
-            left = side(labelled, "x_")
+            left = side(labelled, "x_", own)
         else:
             pool = labelled
             if turn:
@@ -101,7 +106,9 @@ def linked_components(
             order = F.xxhash64("uid", F.lit(turn))
             best = pool.groupBy("key", F.pmod(order, F.lit(hubs[turn])).alias("slot")).agg(F.min(F.struct(order.alias("h"), "uid", *extra, "root")).alias("s"))
             left = side(best.select("key", "s.*"), "x_")
-        pairs = left.join(side(labelled, "y_"), "key").filter("x_root != y_root and x_uid != y_uid" + (" and x_uid < y_uid" if last else ""))
+        pairs = left.join(side(labelled, "y_", own if last else ()), "key").filter("x_root != y_root and x_uid != y_uid" + (" and x_uid < y_uid" if last else ""))
+        if last and bands:
+            pairs = pairs.filter(F.col("key") == shared)
         if may_link is not None:
             pairs = pairs.filter(may_link("x_", "y_"))
         pairs = pairs.select(F.least("x_uid", "y_uid").alias("a"), F.greatest("x_uid", "y_uid").alias("b")).distinct()
