@@ -32,7 +32,7 @@ _ID = "__line_doc"
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    pattern = rf"(?s)(?=(.{{{size}}}))[\p{{L}}\p{{N}}]{{1,{STEP}}}[^\p{{L}}\p{{N}}]*"
+    pattern = rf"(?s)(?=(.{{{size}}}))[\p{{L}}\p{{N}}]{{1,{STEP}}}+[^\p{{L}}\p{{N}}]*+"
     return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
 
 
@@ -63,15 +63,16 @@ def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
 
     Shingles become rows, so each permutation's least hash is a plain aggregate in generated code,
     combined before the shuffle. One XOR serves two permutations: the greatest of x ^ c is the
-    complement of the least of x ^ ~c.
+    complement of the least of x ^ ~c. The hash is never null, which spares each least and greatest a
+    test; a null greatest index says that a line has no shingles.
     """
     placed = lines.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("lid"), _place().alias("at"), "line")
     hashed = placed.select("lid", "at", F.posexplode_outer(shingles(F.col("line"))).alias("i", "s")).select(
-        "lid", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("at")).alias("at"), F.when(F.col("s").isNotNull(), F.xxhash64("s")).alias("h")
+        "lid", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("at")).alias("at"), "i", F.xxhash64("s").alias("h")
     )
     ends = [end(F.col("h").bitwiseXOR(F.lit(_constant(i)))).alias(f"m{2 * i + e}") for i in range((bands * rows + 1) // 2) for e, end in enumerate((F.min, F.max))]
-    least = hashed.groupBy("lid").agg(F.min("at").alias("at"), *ends)
-    key = lambda b: F.when(F.col("m0").isNotNull(), F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))))
+    least = hashed.groupBy("lid").agg(F.min("at").alias("at"), F.max("i").alias("i"), *ends)
+    key = lambda b: F.when(F.col("i").isNotNull(), F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))))
     return least.select("lid", "at", *(key(b).alias(f"b{b}") for b in range(bands)))
 
 
