@@ -1,8 +1,7 @@
 """Fuzzy line de-duplication by MinHash, in DataFrame functions alone.
 
 Lines are cut at newlines. Equal lines are one by digest. A line's set holds the
-character shingles of SHINGLE characters that begin at a word or at every STEP-th letter of a
-longer word, so they cover the line; anchoring them makes a set a sixth as large without tying it to positions. Its
+character shingles of SHINGLE characters that begin at every place, the last one included. Its
 signature is the least hash under each of 24 permutations (XOR with fixed 64-bit values: over
 evenly spread hashes the least of x ^ c falls on each member alike), banded by 3 in 8 bands: a
 pair at 0.8 shares a band with a probability of 0.997. Candidates are verified by the exact
@@ -10,7 +9,7 @@ Jaccard likeness of their shingle strings, and distributed union-find keeps the
 line (least doc_id, then position) of each component.
 
 Defined results: a null text stays null and has no lines; lines of white space alone are always
-kept; a line without shingles (short, or no letter or digit) is compared by equality alone;
+kept; a line shorter than a shingle is compared by equality alone;
 rows that repeat a doc_id share their decisions; a null doc_id counts as the least id; texts of
 any length are handled line by line; an empty table gives an empty result; further columns
 pass through ``dedup`` unchanged, except n_lines and n_kept, which it sets.
@@ -24,15 +23,16 @@ from pyspark.sql import functions as F
 from runlens.llm.near_links import linked_components, may_differ, shared_buckets, small
 from runlens.llm.scratch import Scratch
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 12, 0.8, 8, 3
-STEP = 12
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 8, 3
+#: Places from one shingle to the next: none is left out.
+STEP = 1
 #: 64-bit words of a line's parity sketch.
 SKETCH = 4
 _ID = "__line_doc"
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    pattern = rf"(?s)(?=(.{{{size}}}))[\p{{L}}\p{{N}}]{{1,{STEP}}}+[^\p{{L}}\p{{N}}]*+"
+    pattern = rf"(?s)(?=(.{{{size}}})).{{{STEP}}}"
     return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
 
 
@@ -61,14 +61,16 @@ def line_rows(docs: DataFrame) -> DataFrame:
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per distinct line: its digest, its first place and its band keys (null where it has no shingles).
 
-    Shingles become rows, so each permutation's least hash is a plain aggregate in generated code,
+    Shingles become rows, cut from four bytes a character (at a fixed cost, however long the line), so each permutation's least hash is a plain aggregate in generated code,
     combined before the shuffle. One XOR serves two permutations: the greatest of x ^ c is the
     complement of the least of x ^ ~c. The hash is never null, which spares each least and greatest a
     test; a null greatest index says that a line has no shingles.
     """
-    placed = lines.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("lid"), _place().alias("at"), "line")
-    hashed = placed.select("lid", "at", F.posexplode_outer(shingles(F.col("line"))).alias("i", "s")).select(
-        "lid", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("at")).alias("at"), "i", F.xxhash64("s").alias("h")
+    placed = lines.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("lid"), _place().alias("at"), F.encode("line", "UTF-32").alias("u"))
+    last = F.shiftright(F.octet_length("u"), 2) - SHINGLE
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(STEP)))
+    hashed = placed.select("lid", "at", "u", F.explode_outer(starts).alias("i")).select(
+        "lid", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("at")).alias("at"), "i", F.xxhash64(F.substring("u", 4 * F.col("i") + 1, F.lit(4 * SHINGLE))).alias("h")
     )
     ends = [end(F.col("h").bitwiseXOR(F.lit(_constant(i)))).alias(f"m{2 * i + e}") for i in range((bands * rows + 1) // 2) for e, end in enumerate((F.min, F.max))]
     least = hashed.groupBy("lid").agg(F.min("at").alias("at"), F.max("i").alias("i"), *ends)
