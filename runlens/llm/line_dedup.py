@@ -2,8 +2,8 @@
 
 Lines are cut at newlines. Equal lines are one by digest. A line's set holds the
 character shingles of SHINGLE characters that begin at every place, the last one included. Its
-signature is the least hash under each of 24 permutations (XOR with fixed 64-bit values: over
-evenly spread hashes the least of x ^ c falls on each member alike), banded by 3 in 8 bands: a
+signature is the least hash under each of 24 permutations (the halves of 12 seeded xxHashes of a
+shingle's hash, which mix alike for sets of any size), banded by 3 in 8 bands: a
 pair at 0.8 shares a band with a probability of 0.997. Candidates are verified by the exact
 Jaccard likeness of their shingle strings, and distributed union-find keeps the first
 line (least doc_id, then position) of each component.
@@ -36,12 +36,6 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
     return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
 
 
-def _constant(i: int) -> int:
-    """Fixed 64-bit values: multiples of the golden ratio's fraction."""
-    x = (i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _doc(df: DataFrame) -> DataFrame:
     return df.withColumn(_ID, F.coalesce("doc_id", F.lit(-(1 << 63))))
 
@@ -58,13 +52,26 @@ def line_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def least_hashes(hashed: DataFrame, n: int, *more: Column) -> DataFrame:
+    """m0, m1, ...: the least of each of n permutations of the hashes ``h`` of every ``lid``.
+
+    A seeded xxHash gives two permutations of 32 bits, its halves.
+    """
+    mixed = hashed.select("*", *(F.xxhash64(F.lit(i), "h").alias(f"x{i}") for i in range((n + 1) // 2)))
+    halves = (half for i in range((n + 1) // 2) for half in (F.shiftright(f"x{i}", 32), F.col(f"x{i}").bitwiseAND(F.lit((1 << 32) - 1))))
+    return mixed.groupBy("lid").agg(*more, *(F.min(half).alias(f"m{i}") for i, half in zip(range(n), halves)))
+
+
+def band_key(b: int, rows: int = ROWS) -> Column:
+    return F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows)))
+
+
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per distinct line: its digest, its first place and its band keys (null where it has no shingles).
 
     Shingles become rows, cut from four bytes a character (at a fixed cost, however long the line), so each permutation's least hash is a plain aggregate in generated code,
-    combined before the shuffle. One XOR serves two permutations: the greatest of x ^ c is the
-    complement of the least of x ^ ~c. The hash is never null, which spares each least and greatest a
-    test; a null greatest index says that a line has no shingles.
+    combined before the shuffle. The hash is never null, which spares each least a test; a null
+    greatest index says that a line has no shingles.
     """
     placed = lines.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("lid"), _place().alias("at"), F.encode("line", "UTF-32").alias("u"))
     last = F.shiftright(F.octet_length("u"), 2) - SHINGLE
@@ -72,9 +79,8 @@ def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
     hashed = placed.select("lid", "at", "u", F.explode_outer(starts).alias("i")).select(
         "lid", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("at")).alias("at"), "i", F.xxhash64(F.substring("u", 4 * F.col("i") + 1, F.lit(4 * SHINGLE))).alias("h")
     )
-    ends = [end(F.col("h").bitwiseXOR(F.lit(_constant(i)))).alias(f"m{2 * i + e}") for i in range((bands * rows + 1) // 2) for e, end in enumerate((F.min, F.max))]
-    least = hashed.groupBy("lid").agg(F.min("at").alias("at"), F.max("i").alias("i"), *ends)
-    key = lambda b: F.when(F.col("i").isNotNull(), F.xxhash64(F.lit(b), *(f"m{b * rows + r}" for r in range(rows))))
+    least = least_hashes(hashed, bands * rows, F.min("at").alias("at"), F.max("i").alias("i"))
+    key = lambda b: F.when(F.col("i").isNotNull(), band_key(b, rows))
     return least.select("lid", "at", *(key(b).alias(f"b{b}") for b in range(bands)))
 
 
