@@ -27,7 +27,7 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 8, 3
 #: Places from one shingle to the next: none is left out.
 STEP = 1
 #: 64-bit words of a line's parity sketch.
-SKETCH = 4
+SKETCH = 16
 _ID = "__line_doc"
 
 
@@ -100,20 +100,24 @@ def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     places = lines.join(small(uids, asked), "uid").groupBy("doc").agg(F.collect_list(F.struct("pos", "uid", F.array(*names).alias("keys"))).alias("places"))
     texts = _doc(docs).select(F.col(_ID).alias("doc"), F.split("text", "\n").alias("lines")).join(small(places, asked), "doc")
     found = texts.select(F.explode(F.transform("places", lambda p: F.struct(p["uid"].alias("uid"), p["keys"].alias("keys"), F.get("lines", p["pos"]).alias("line")))).alias("p"))
-    sets = scratch.cut(found.select("p.uid", "p.keys", F.array_distinct(shingles(F.col("p.line"))).alias("s")).dropDuplicates(["uid"]))
-    bits = F.transform("s", lambda x: F.xxhash64(x, F.lit("parity")))
-    word = lambda w: F.aggregate(F.filter("bits", lambda x: F.pmod(F.shiftright(x, 8), F.lit(SKETCH)) == w), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)).cast("int"))))
-    names = [f"s{w}" for w in range(SKETCH)]
-    sketches = scratch.cut(sets.select("uid", "keys", F.size("s").alias("n"), bits.alias("bits")).select("uid", "keys", "n", *(word(w).alias(c) for w, c in enumerate(names))))
+    held = scratch.cut(found.select("p.*").dropDuplicates(["uid"]))
+    members = held.select("uid", *(F.get("keys", F.lit(b)).alias(c) for b, c in enumerate(names)), F.explode(F.array_distinct(shingles(F.col("line")))).alias("s"))
+    hashed = members.select("uid", *names, F.xxhash64("s", F.lit("parity")).alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("x", F.lit(64)).cast("int"))
+    word = lambda w: F.bit_xor(F.when(F.pmod(F.shiftright("x", 8), F.lit(SKETCH)) == w, bit).otherwise(F.lit(0).cast("bigint")))
+    sketch = [f"s{w}" for w in range(SKETCH)]
+    sketches = hashed.groupBy("uid", *names).agg(F.count("*").alias("n"), *(word(w).alias(c) for w, c in enumerate(sketch)))
+    sketches = scratch.cut(sketches.select("uid", F.array(*names).alias("keys"), "n", *sketch))
     buckets = scratch.cut(buckets.join(small(sketches, asked), "uid"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("uid").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-        both = pairs.join(x, "a").join(y, "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.filter(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        """By the sets of the pair's lines: a line is a tenth of its set's bytes or less, so lines are what is moved."""
+        x, y = (held.select(F.col("uid").alias(k), F.col("line").alias(f"l{k}")) for k in "ab")
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", *(F.array_distinct(shingles(F.col(f"l{k}"))).alias(f"s{k}") for k in "ab"))
+        both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+        return both.filter(F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
-    roots = linked_components(scratch, buckets, verify, lambda x, y: may_differ(x, y, names, threshold), bands=bands)
+    roots = linked_components(scratch, buckets, verify, lambda x, y: may_differ(x, y, sketch, threshold), bands=bands)
     first = lines.join(small(roots, roots.count()), "uid", "left").groupBy(F.coalesce("root", "uid").alias("root")).agg(F.min("at").alias("at"))
     return first.select(doc_of.alias("doc"), pos_of.alias("pos"))
 
