@@ -31,10 +31,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of every group linked by five-word shingles at 0.8 or more."""
-    found = shingle_join.join(docs, words=5, threshold=0.8)
-    copies = Scratch(spark, "copies").cut(found.filter("doc_id != component_id").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(small(copies, copies.count()), "doc_id", "left_anti")
+    """One row of every group linked by five-word shingles at 0.8 or more: that of the least doc_id, null being the greatest.
+
+    Rows are told apart by doc_id where it is unique and never null, else by a number that each row gets.
+    """
+    scratch, docs = Scratch(spark, "copies"), docs.select(*COLUMNS)
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        found = shingle_join.join(docs, words=5, threshold=0.8)
+        copies = scratch.cut(found.filter("doc_id != component_id").select("doc_id"))
+        return docs.join(small(copies, copies.count()), "doc_id", "left_anti")
+    docs = scratch.cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = scratch.cut(shingle_join.join(docs.select(F.col("__row").alias("doc_id"), "text"), words=5, threshold=0.8).select(F.col("doc_id").alias("__row"), "component_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    first = found.join(docs.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
+    copies = scratch.cut(found.join(first, "__row", "left_anti").select("__row"))
+    return docs.join(small(copies, copies.count()), "__row", "left_anti").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
