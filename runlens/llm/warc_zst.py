@@ -18,7 +18,9 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import itertools
 import struct
 
 import pyarrow as pa
@@ -30,7 +32,7 @@ from runlens.llm.scratch import Scratch
 
 DICT_MAGIC = 0x184D2A5D
 DICT_BYTES = 32 * 1024
-#: Bytes and records of an archive that its dictionary is trained on, at most.
+#: Bytes and parts of records of an archive that its dictionary is trained on, at most.
 TRAIN_BYTES, TRAIN_RECORDS = 1_500_000, 400
 #: Uncompressed bytes after which an archive is closed.
 ARCHIVE_BYTES = 32_000_000
@@ -86,16 +88,25 @@ def train(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICT_BYTES:] or b"WARC/1.1"
 
 
+def samples_of(records: list[bytes]) -> list[bytes]:
+    """What the dictionary is trained on: all of a small archive, else parts at even distances over all its bytes.
+
+    Every other part is the head of the record met there, the rest begin where they are met.
+    """
+    ends = list(itertools.accumulate(map(len, records)))
+    if not records or ends[-1] <= TRAIN_BYTES and len(records) <= TRAIN_RECORDS:
+        return [r[at : at + DICT_BYTES] for r in records for at in range(0, len(r), DICT_BYTES)]
+    most, out = TRAIN_BYTES // TRAIN_RECORDS, []
+    for i in range(TRAIN_RECORDS):
+        place = ends[-1] * (2 * i + 1) // (2 * TRAIN_RECORDS)
+        k = bisect.bisect_right(ends, place)
+        at = 0 if i % 2 == 0 else max(0, min(place - (ends[k] - len(records[k])), len(records[k]) - most))
+        out.append(records[k][at : at + most])
+    return out
+
+
 def build_archive(records: list[bytes]) -> bytes:
-    samples, size = [], 0
-    step = max(1, len(records) // TRAIN_RECORDS)  # spread over the whole archive
-    for r in records[::step]:
-        part = r[:DICT_BYTES]
-        if size + len(part) > TRAIN_BYTES:
-            break
-        samples.append(part)
-        size += len(part)
-    raw = train(samples)
+    raw = train(samples_of(records))
     packed = zstandard.ZstdCompressor(level=19).compress(raw)
     writer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=True, write_content_size=True)
     return struct.pack("<II", DICT_MAGIC, len(packed)) + packed + b"".join(map(writer.compress, records))

@@ -1,6 +1,7 @@
 """Rows, records and languages that were once left out."""
 
 import corpus_pipeline
+from runlens.llm import warc_zst
 
 
 def test_near_copies_are_decided_by_row(spark):
@@ -10,3 +11,13 @@ def test_near_copies_are_decided_by_row(spark):
     out = corpus_pipeline.drop_near_copies(spark, df, "")
     assert tuple(out.columns) == corpus_pipeline.COLUMNS
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (None, d), (5, ""), (5, "")], key=str)
+
+
+def test_dictionary_samples_reach_the_whole_archive():
+    records = [bytes([65 + i % 26]) * 100_000 + f"<tail of {i}>".encode() * 5_000 for i in range(100)]
+    samples = warc_zst.samples_of(records)
+    assert sum(map(len, samples)) <= warc_zst.TRAIN_BYTES and len(samples) <= warc_zst.TRAIN_RECORDS
+    met = {i for i in range(100) if any(f"<tail of {i}>".encode() in s for s in samples)}
+    assert len(met) > 50 and {99, 98} & met
+    assert all(any(s.startswith(r[:99]) for s in samples) for r in records)
+    assert warc_zst.samples_of([]) == [] and warc_zst.samples_of([b"x" * 40_000]) == [b"x" * 32_768, b"x" * 7_232]
