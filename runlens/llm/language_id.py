@@ -26,8 +26,10 @@ from runlens.llm.rows import map_rows, texts
 
 #: Lengths of the n-grams, over words padded with a space.
 GRAMS = (2, 3, 4)
-#: Rows of each language and languages that are learned from, at most (by hash order of doc_id).
-SAMPLE_ROWS, MAX_LANGUAGES = 400, 64
+#: Rows of each language that are learned from, at most (by hash order of doc_id).
+SAMPLE_ROWS = 400
+#: Languages in one word of a mask.
+WORD = 64
 #: An n-gram belongs to a language if it was seen so often there, at a rate of at least this part of its highest rate.
 MIN_COUNT, MIN_RATE = 2, 0.3
 HASHES = 3
@@ -60,9 +62,14 @@ def gram_hashes(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def has(masks: np.ndarray, i: int) -> np.ndarray:
+    """The bit of language i in every mask; masks of more than one word have an axis for them."""
+    return (masks if masks.ndim == 1 else masks[:, i // WORD]) >> np.uint64(i % WORD) & np.uint64(1)
+
+
 @dataclass
 class Filter:
-    """Slots of language bits; ``false_rate`` is, per language, how often an unseen n-gram passes."""
+    """Slots of language bits, a word for each 64 languages; ``false_rate`` is, per language, how often an unseen n-gram passes."""
 
     languages: list[str]
     slots: np.ndarray
@@ -86,7 +93,7 @@ class Filter:
             values = np.arange(len(seen))
             hits = np.array([seen[values >> i & 1 == 1].sum() for i in range(len(self.languages))], float)
         else:
-            hits = np.array([np.count_nonzero(masks >> np.uint64(i) & np.uint64(1)) for i in range(len(self.languages))], float)
+            hits = np.array([np.count_nonzero(has(masks, i)) for i in range(len(self.languages))], float)
         n = max(1, len(hashes))
         rates = ((hits / n - self.false_rate) / (1 - self.false_rate)).clip(0, 1)
         best = int(rates.argmax())
@@ -103,20 +110,23 @@ def build(samples: list[tuple[str, str]]) -> Filter:
         grams = [gram_hashes(t) for x, t in samples if x == lang]
         counts.append(np.unique(np.concatenate(grams), return_counts=True))
     grams = np.unique(np.concatenate([g for g, _ in counts]))
-    rate = np.zeros((len(languages), len(grams)))
-    for i, (g, c) in enumerate(counts):
+    highest, rates = np.zeros(len(grams)), []
+    for g, c in counts:
         kept = c >= MIN_COUNT
-        rate[i, np.searchsorted(grams, g[kept])] = c[kept] / max(1, c.sum())
-    member = (rate > 0) & (rate >= MIN_RATE * rate.max(0))
+        at, rate = np.searchsorted(grams, g[kept]), c[kept] / max(1, c.sum())
+        highest[at] = np.maximum(highest[at], rate)
+        rates.append((at, rate))
     size = 1 << max(10, math.ceil(math.log2(max(1, len(grams)) * 8)))
-    out = Filter(languages, np.zeros(size, np.uint64), np.zeros(len(languages)))
+    words = -(-len(languages) // WORD)
+    out = Filter(languages, np.zeros(size if words == 1 else (size, words), np.uint64), np.zeros(len(languages)))
     bits = np.uint64(size - 1)
-    for i in range(len(languages)):
-        own = grams[member[i]]
+    for i, (at, rate) in enumerate(rates):
+        own = grams[at[rate >= MIN_RATE * highest[at]]]
+        slots = out.slots if words == 1 else out.slots[:, i // WORD]
         for k in range(HASHES):
             at = (own & bits) if k == 0 else ((own >> np.uint64(20 * k)) * _ODD[k] >> np.uint64(17) & bits)
-            out.slots[np.unique(at.astype(np.int64))] |= np.uint64(1) << np.uint64(i)
-    fill = np.array([np.count_nonzero(out.slots >> np.uint64(i) & np.uint64(1)) / size for i in range(len(languages))])
+            slots[np.unique(at.astype(np.int64))] |= np.uint64(1) << np.uint64(i % WORD)
+    fill = np.array([np.count_nonzero(has(out.slots, i)) / size for i in range(len(languages))])
     out.false_rate = np.minimum(fill**HASHES, 0.999)
     return out
 
@@ -126,19 +136,16 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> Filter:
-    """Learn from at most ``sample_rows`` labelled rows of each of at most 64 languages.
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filter:
+    """Learn from at most ``sample_rows`` labelled rows of every language.
 
     The rows are those with the smallest hashes of their ids; a running choice per language
     (``min_by`` over hashed slots) sends one row per slot at most, however large a language is.
     """
-    if not 1 <= max_languages <= 64:
-        raise ValueError("a mask has 64 bits")
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "doc_id")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
     key = F.xxhash64("doc_id", F.lit(17))
-    ids = rows.join(F.broadcast(common), "lang").groupBy("lang", F.pmod(key, F.lit(sample_rows)).alias("slot")).agg(F.min_by("doc_id", key).alias("doc_id")).select("lang", "doc_id")
-    # At most sample_rows * max_languages ids: a proven bound.
+    ids = rows.groupBy("lang", F.pmod(key, F.lit(sample_rows)).alias("slot")).agg(F.min_by("doc_id", key).alias("doc_id")).select("lang", "doc_id")
+    # At most sample_rows ids of each label.
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").filter(F.col("text").isNotNull())
     return build(sorted((r.lang, r.text) for r in sample.select("lang", "text").toLocalIterator()))
 

@@ -1,7 +1,9 @@
 """Rows, records and languages that were once left out."""
 
+import string
+
 import corpus_pipeline
-from runlens.llm import warc_zst
+from runlens.llm import language_id, warc_zst
 
 
 def test_near_copies_are_decided_by_row(spark):
@@ -21,3 +23,12 @@ def test_dictionary_samples_reach_the_whole_archive():
     assert len(met) > 50 and {99, 98} & met
     assert all(any(s.startswith(r[:99]) for s in samples) for r in records)
     assert warc_zst.samples_of([]) == [] and warc_zst.samples_of([b"x" * 40_000]) == [b"x" * 32_768, b"x" * 7_232]
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    words = [x + y for x in string.ascii_lowercase for y in string.ascii_lowercase][:150]
+    texts = {f"l{i:03}": f"{w}q{w}z{w} " * 6 for i, w in enumerate(words)}
+    df = spark.createDataFrame([(k * 1000 + i, t, lang) for k in range(6) for i, (lang, t) in enumerate(texts.items())], "doc_id bigint, text string, lang string")
+    model = language_id.fit(df)
+    assert model.languages == sorted(texts)
+    assert [model.predict(t)[0] for t in texts.values()] == list(texts)
