@@ -27,7 +27,7 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 8, 3
 #: Places from one shingle to the next: none is left out.
 STEP = 1
 #: 64-bit words of a line's parity sketch.
-SKETCH = 16
+SKETCH = 8
 _ID = "__line_doc"
 
 
@@ -101,6 +101,7 @@ def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     texts = _doc(docs).select(F.col(_ID).alias("doc"), F.split("text", "\n").alias("lines")).join(small(places, asked), "doc")
     found = texts.select(F.explode(F.transform("places", lambda p: F.struct(p["uid"].alias("uid"), p["keys"].alias("keys"), F.get("lines", p["pos"]).alias("line")))).alias("p"))
     held = scratch.cut(found.select("p.*").dropDuplicates(["uid"]))
+    scratch.release()
     members = held.select("uid", *(F.get("keys", F.lit(b)).alias(c) for b, c in enumerate(names)), F.explode(F.array_distinct(shingles(F.col("line")))).alias("s"))
     hashed = members.select("uid", *names, F.xxhash64("s", F.lit("parity")).alias("x"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("x", F.lit(64)).cast("int"))
@@ -108,7 +109,10 @@ def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     sketch = [f"s{w}" for w in range(SKETCH)]
     sketches = hashed.groupBy("uid", *names).agg(F.count("*").alias("n"), *(word(w).alias(c) for w, c in enumerate(sketch)))
     sketches = scratch.cut(sketches.select("uid", F.array(*names).alias("keys"), "n", *sketch))
-    buckets = scratch.cut(buckets.join(small(sketches, asked), "uid"))
+    bare, buckets = buckets, scratch.cut(buckets.join(small(sketches, asked), "uid"))
+    scratch.drop(bare)
+    scratch.drop(sketches)
+    scratch.release()
 
     def verify(pairs: DataFrame) -> DataFrame:
         """By the sets of the pair's lines: a line is a tenth of its set's bytes or less, so lines are what is moved."""
