@@ -1,8 +1,9 @@
 """Components of a similarity relation, found from buckets of candidates without listing all pairs.
 
 Rows of a bucket are first tested against a few hubs, and the components of the links found so far
-are taken (further rounds may take hubs of the bucket's commonest component). Only pairs of a bucket that still lie in different components can
-add anything, and all of those are tested in the end. A large group of copies thus costs some
+are taken. Only pairs of a bucket that still lie in different components can add anything. While those are
+many for the rows they come from, and the round before found links, a further round tests strays against hubs of the bucket's
+commonest component; in the end all pairs left are tested. A large group of copies thus costs some
 tests per row, not per pair, and no link that would join two components is lost.
 
 DataFrame functions alone; no group is gathered in one task and nothing but counts reaches the driver.
@@ -19,8 +20,10 @@ from runlens.llm.scratch import Scratch
 
 #: Rows of a side that may be broadcast, at most (two long columns: some tens of megabytes).
 BROADCAST_ROWS = 400_000
-#: Hubs of a bucket in each round before the last, which takes all pairs left.
-HUBS = (4,)
+#: Hubs of a bucket in the first round and in each further one.
+HUBS = (4, 4)
+#: Pairs left for each row above which another round of hubs is worth its cost, and rounds of hubs at most.
+PAIRS_A_ROW, HUB_ROUNDS = 2, 6
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -28,6 +31,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def differing(x: str, y: str, sketch: list[str]) -> F.Column:
+    """Bits in which two rows' sketches differ."""
+    return sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in sketch), F.lit(0))
+
+
 def may_differ(x: str, y: str, sketch: list[str], threshold: float) -> F.Column:
     """Whether two sets can have the likeness, by sizes ``n`` and parity sketches: an exact bound.
 
@@ -35,8 +43,7 @@ def may_differ(x: str, y: str, sketch: list[str], threshold: float) -> F.Column:
     differs stands for a member of one set only, of which linked sets have (1-t)/(1+t) of their sizes' sum at most.
     """
     nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
-    differ = sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in sketch), F.lit(0))
-    return (F.least(nx, ny) >= F.greatest(nx, ny) * threshold - 1e-9) & (differ <= (nx + ny) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    return (F.least(nx, ny) >= F.greatest(nx, ny) * threshold - 1e-9) & (differing(x, y, sketch) <= (nx + ny) * ((1 - threshold) / (1 + threshold)) + 1e-9)
 
 
 def state(edges: DataFrame) -> tuple:
@@ -59,8 +66,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         rest = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.cut(rest.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         now = state(new)
-        scratch.drop(large)
-        scratch.drop(edges)
+        scratch.drop(large, edges)
         edges = new
         if now == seen:
             break
@@ -79,53 +85,56 @@ def linked_components(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     may_link: Callable[[str, str], F.Column] | None = None,
-    hubs: tuple[int, ...] = HUBS,
-    bands: int = 0,
+    hubs: tuple[int, int] = HUBS,
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
+    may_still_link: Callable[[str, str], F.Column] | None = None,
 ) -> DataFrame:
     """(uid, root) for rows linked to another one.
 
     ``buckets``: (key, uid, ...) where linked rows share a key. ``verify``: pairs (a, b), a < b, to
     those that link. ``may_link``: an exact bound on two bucket rows (column prefixes) that rules pairs out.
-    ``bands``: the length of the column ``keys``, a row's key in each band, if the buckets have it; the last round
-    then makes a pair in the first bucket it shares alone. (Rows of different components lose no bucket before that.)
+    ``narrow``: from the distinct uids still in buckets of several components after the first round to (uid, ...), further
+    columns for ``may_still_link``, the bound from then on.
     """
-    extra = [c for c in buckets.columns if c not in ("key", "uid", "keys")]
-    side = lambda df, p, more=(): df.select("key", *(F.col(c).alias(f"{p}{c}") for c in ["uid", *extra, "root", *more]))
-    own = ("keys",) if bands else ()
-    shared = F.coalesce(*(F.when(F.get("x_keys", F.lit(b)) == F.get("y_keys", F.lit(b)), F.get("x_keys", F.lit(b))) for b in range(bands))) if bands else None
-    links = tested = None
-    labelled = buckets.withColumn("root", F.col("uid"))
-    for turn in range(len(hubs) + 1):
-        last = turn == len(hubs)
+    links = tested = roots = None
+    labelled, turn, last = buckets.withColumn("root", F.col("uid")), 0, False
+    while True:
+        extra = [c for c in buckets.columns if c not in ("key", "uid")]
+        side = lambda df, p, extra=extra: df.select("key", *(F.col(c).alias(f"{p}{c}") for c in ["uid", *extra, "root"]))
         if last:
-            left = side(labelled, "x_", own)
+            left = side(labelled, "x_")
         else:
             pool = labelled
             if turn:
                 pool = pool.join(pool.groupBy("key").agg(F.mode("root", True).alias("root")), ["key", "root"])
             order = F.xxhash64("uid", F.lit(turn))
-            best = pool.groupBy("key", F.pmod(order, F.lit(hubs[turn])).alias("slot")).agg(F.min(F.struct(order.alias("h"), "uid", *extra, "root")).alias("s"))
+            best = pool.groupBy("key", F.pmod(order, F.lit(hubs[turn > 0])).alias("slot")).agg(F.min(F.struct(order.alias("h"), "uid", *extra, "root")).alias("s"))
             left = side(best.select("key", "s.*"), "x_")
-        pairs = left.join(side(labelled, "y_", own if last else ()), "key").filter("x_root != y_root and x_uid != y_uid" + (" and x_uid < y_uid" if last else ""))
-        if last and bands:
-            pairs = pairs.filter(F.col("key") == shared)
+        pairs = left.join(side(labelled, "y_"), "key").filter("x_root != y_root and x_uid != y_uid" + (" and x_uid < y_uid" if last else ""))
         if may_link is not None:
             pairs = pairs.filter(may_link("x_", "y_"))
         pairs = pairs.select(F.least("x_uid", "y_uid").alias("a"), F.greatest("x_uid", "y_uid").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.cut(pairs)
-        if not pairs.count():
-            continue
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        found = scratch.cut(verify(pairs))
-        links = found if links is None else links.unionAll(found)
-        roots = components(scratch, links)
-        scratch.release()
-        if not last:
+        pairs, new = scratch.cut(pairs), 0
+        if pairs.count():
+            tested = pairs if tested is None else tested.unionAll(pairs)
+            found = scratch.cut(verify(pairs))
+            new = found.count()
+            links = found if links is None else links.unionAll(found)
+            roots = components(scratch, links) if new or roots is None else roots
+        if last:
+            return buckets.select("uid", F.col("uid").alias("root")).limit(0) if links is None else roots
+        if links is not None:
             labelled = scratch.cut(buckets.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
-            mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-            labelled = scratch.cut(labelled.join(mixed, "key", "left_semi"))
-    if links is None:
-        return buckets.select("uid", F.col("uid").alias("root")).limit(0)
-    return roots
+        counts = labelled.groupBy("key", "root").agg(F.count("*").cast("double").alias("m"))
+        mixed = scratch.cut(counts.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("roots")).filter("roots > 1"))
+        rows, left_pairs = mixed.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0))).first()
+        labelled = scratch.cut(labelled.join(mixed.select("key"), "key", "left_semi"))
+        if narrow is not None and not turn:
+            more = scratch.cut(narrow(labelled.select("uid").distinct()))
+            labelled = scratch.cut(labelled.join(small(more, more.count()), "uid"))
+            may_link = may_still_link
+        buckets = labelled.drop("root")  # the other buckets can join nothing any more
+        turn += 1
+        last = not new or turn == HUB_ROUNDS or left_pairs <= PAIRS_A_ROW * rows

@@ -1,23 +1,29 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 Lineage is cut with Parquet tables under ``spark.checkpoint.dir``: they survive the
-loss of executors, are compressed, and carry sizes that the adaptive planner can use.
+loss of executors, are compressed, and carry sizes that the adaptive planner can use. The
+shuffle files of a write are removed with it, since its table takes their place.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own switch for removing an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's checkpoint folder; where none is set, a temporary one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     mine = getattr(spark, "_runlens_scratch", None)
     if mine is None:
         mine = spark._runlens_scratch = "file://" + tempfile.mkdtemp(prefix="runlens-")
@@ -35,15 +41,21 @@ class Scratch:
         """Write ``df`` and return the table read back: recovery restarts from here."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.add(path)
         out._runlens_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        self._delete(df._runlens_path)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            self._delete(df._runlens_path)
 
     def only(self, *kept: DataFrame) -> None:
         """Delete every table of this call but ``kept``."""
@@ -54,8 +66,3 @@ class Scratch:
         self.paths.discard(where)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
