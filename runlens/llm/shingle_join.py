@@ -5,17 +5,19 @@ more share at least k of the first ``n - ceil(t n) + k`` tokens of any order com
 documents. The order here puts tokens known as frequent last, then goes by hash. Tokens of
 the prefixes that stay frequent are indexed in combinations of two (the prefix is extended by one
 for that), rare ones alone; a shared prefix holds a rare token or two frequent ones, so
-nothing is missed. Sets too large for combinations index frequent tokens alone; where the two
-rules meet, sets do both. Candidates pass exact bounds by size, position and parity sketch, and
-are verified on their whole sets.
+nothing is missed. A large set with frequent tokens in its prefix would have too many combinations of two: its prefix is extended to
+the whole set, which is cut by hash into more groups than two linked sets have tokens of one alone. So a group
+holds the same tokens in both, and each group's combination (some five to ten tokens) is indexed. Sets of different
+sizes cut alike within classes of sizes; each takes part in its own class and the next. Where the two rules meet, sets do both.
+Candidates pass exact bounds by size, position and parity sketch, and are verified on their whole sets.
 
 Equal sets are one class from the start, and a bucket's rows are tested hub by hub (see
 ``near_links``), so a group of copies is never expanded into pairs.
 
 Defined results: a null or empty text or one without words has an empty set and links with
 nothing; fewer words than a shingle make one shingle of all; texts of any length are read
-whole; rows that repeat a doc_id each count as a document; a row with a null doc_id takes part
-through equal sets only, and has a null component if they hold no id; an empty table gives
+whole; rows that repeat a doc_id each count as a document; a row with a null doc_id (the least
+64-bit number counts as null) takes part alike, and a component of such rows alone is null; an empty table gives
 an empty result; further columns are ignored.
 """
 
@@ -23,13 +25,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.near_links import linked_components, may_differ, shared_buckets, small
+from runlens.llm.near_links import differing, linked_components, may_differ, shared_buckets, small
 from runlens.llm.rows import map_rows, texts
 from runlens.llm.scratch import Scratch
 
@@ -41,9 +44,12 @@ LISTED_TOKENS = 1_000_000
 #: Longest prefix whose frequent tokens are combined.
 COMBINED_PREFIX = 12
 
-#: 64-bit words of a set's parity sketch.
-SKETCH = 4
-SKETCHES = [f"s{i}" for i in range(SKETCH)]
+#: 64-bit words of a set's parity sketch, and of the one for rows left after the first hubs.
+SKETCH, LONG_SKETCH = 4, 32
+SKETCHES, LONG_SKETCHES = [f"s{i}" for i in range(SKETCH)], [f"t{i}" for i in range(LONG_SKETCH)]
+GROUPED = "uid bigint, n bigint, keys array<bigint>, bare boolean"
+#: Stands for a null doc_id inside.
+_NO_ID = -(1 << 63)
 
 _LOWER = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -92,9 +98,32 @@ def prefix_size(n: int, threshold: float, k: int = 1) -> int:
     return min(n, n - math.ceil(threshold * n - 1e-9) + k)
 
 
+def size_bounds(n: int, threshold: float) -> tuple[int, int]:
+    """The largest sizes of the class of size ``n`` and of the next; linked sets lie in one class or in two next to each other."""
+    low = 4
+    while low < n:
+        low = math.ceil(low / threshold + 1e-9)
+    return low, math.ceil(low / threshold + 1e-9)
+
+
+def group_keys(tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, bool]:
+    """Keys of the groups of a set, in both its classes; whether a class has so many empty groups that equal ones may all be empty."""
+    keys, bare = [], False
+    for bound in size_bounds(len(tokens), threshold):
+        apart = math.floor(2 * bound * (1 - threshold) / (1 + threshold) + 1e-9)
+        groups = apart + 1 + max(8, apart // 8)
+        at = (tokens >> np.uint64(11)) % np.uint64(groups)
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.diff(at[order], prepend=np.uint64(groups)))
+        sums = np.add.reduceat(_mixed(tokens[order] + _ODD), starts)
+        keys.append(_mixed(sums + at[order][starts] * _ODD + np.uint64(bound)))
+        bare |= groups - len(starts) >= groups - apart
+    return np.concatenate(keys).view(np.int64), bare
+
+
 def wide_sketch(tokens: np.ndarray) -> bytes:
-    """Parity bits in number about half the set's size: a power of two, 512 at least."""
-    bits = 1 << max(9, (len(tokens) // 2).bit_length())
+    """Parity bits in number about half the set's size: a power of two, those of the long sketch at least."""
+    bits = max(64 * LONG_SKETCH, 1 << (len(tokens) // 2).bit_length())
     return np.packbits(np.bincount((tokens >> np.uint64(30) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -161,12 +190,12 @@ def listed_tokens(tokens: DataFrame, frequent: int, most: int) -> np.ndarray:
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
-def index_rows(scratch: Scratch, rows: DataFrame, threshold: float, frequent: int, combined: int) -> DataFrame:
-    """(key, uid, n, pos): rare tokens alone, frequent ones in pairs or, for large sets, alone.
+def index_rows(scratch: Scratch, rows: DataFrame, threshold: float, frequent: int, combined: int, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, uid, n, pos): rare tokens alone, frequent ones in pairs or, for large sets, in groups.
 
-    ``rows``: (token, uid, n, pos) of the extended prefixes. Linked sets differ in size by the
-    threshold at most: sets up to ``top`` index pairs, sets from ``threshold * top`` on index frequent
-    tokens alone, so any two linked sets have one of the two ways in common.
+    ``rows``: (token, uid, n, pos) of the extended prefixes. ``grouped``: from uids to (uid, n, keys, bare) of ``group_keys``.
+    Linked sets differ in size by the threshold at most: sets up to ``top`` index pairs, sets from ``threshold * top``
+    on groups, so any two linked sets that share frequent tokens alone have one of the two ways in common.
     """
     counts = scratch.cut(rows.groupBy("token").count().filter("count > 1"))
     live = scratch.cut(rows.join(small(counts, counts.count()), "token"))
@@ -174,18 +203,23 @@ def index_rows(scratch: Scratch, rows: DataFrame, threshold: float, frequent: in
     while prefix_size(top + 1, threshold, 2) <= combined:
         top += 1
     common = F.col("count") > frequent
-    alone = live.filter(~common | (F.col("n") >= math.floor(threshold * top))).select(F.col("token").alias("key"), "uid", "n", "pos")
+    large = common & (F.col("n") >= math.floor(threshold * top))
+    alone = live.filter(~common).select(F.col("token").alias("key"), "uid", "n", "pos")
     held = live.filter(common & (F.col("n") <= top)).groupBy("uid", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
     first = held.select("uid", "n", "t", F.posexplode("t").alias("i", "x"))
     pairs = first.select("uid", "n", F.col("x.pos").alias("pos"), F.col("x.token").alias("token"), F.explode(F.slice("t", F.col("i") + 2, F.greatest(F.size("t") - F.col("i") - 1, F.lit(0)))).alias("y"))
-    return alone.unionAll(pairs.select(F.xxhash64("token", "y.token", F.lit("pair")).alias("key"), "uid", "n", "pos"))
+    pairs = pairs.select(F.xxhash64("token", "y.token", F.lit("pair")).alias("key"), "uid", "n", "pos")
+    groups = scratch.cut(grouped(live.filter(large & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9))).select("uid").distinct()))
+    bare = groups.filter("bare").select("uid")
+    groups = groups.select(F.explode("keys").alias("key"), "uid", "n", F.lit(0).alias("pos"))
+    bare = live.filter(large).join(bare, "uid", "left_semi").select(F.xxhash64("token", F.lit("bare")).alias("key"), "uid", "n", F.lit(0).alias("pos"))
+    return alone.unionAll(pairs).unionAll(groups).unionAll(bare)
 
 
-def verified(docs: DataFrame, places: DataFrame, wide: DataFrame, words: int, threshold: float, scratch: Scratch):
-    """The check of pairs: by wide sketches first, then on whole sets, worked out for the rows still asked for.
+def whole_sets(docs: DataFrame, places: DataFrame, uids: DataFrame, words: int, made: Callable[[np.ndarray], tuple], schema: str) -> DataFrame:
+    """uid and what ``made`` gives for its set, worked out again from the texts of the rows asked for.
 
-    ``places``: (uid, doc_id, sig); ``wide``: (uid, n, wide). A wide sketch has half a bit for a token, a
-    hundredth of the set's bytes, and bounds the likeness as the small ones do.
+    ``places``: (uid, doc_id, sig).
     """
 
     def run(batch: pa.RecordBatch) -> list:
@@ -193,8 +227,20 @@ def verified(docs: DataFrame, places: DataFrame, wide: DataFrame, words: int, th
         for u, sig, text in zip(uid, batch["sig"].to_pylist(), batch["text"].to_pylist(), strict=True):
             s = shingle_set((text or "").encode("utf-8"), words)
             if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == sig:  # else another row of that doc_id
-                out.append((u, s.tobytes()))
-        return list(map(list, zip(*out, strict=True))) if out else [[], []]
+                out.append((u, *made(s)))
+        return list(map(list, zip(*out, strict=True))) if out else [[]] * len(schema.split(","))
+
+    asked = uids.count()
+    wanted = docs.select("doc_id", "text").join(small(places.join(small(uids, asked), "uid"), asked), "doc_id")
+    return map_rows(wanted.select("uid", "sig", "text"), run, schema)
+
+
+def verified(docs: DataFrame, places: DataFrame, wide: DataFrame, words: int, threshold: float, scratch: Scratch):
+    """The check of pairs: by wide sketches first, then on whole sets, worked out for the rows still asked for.
+
+    ``places``: (uid, doc_id, sig); ``wide``: (uid, n, wide). A wide sketch has half a bit for a token, a
+    hundredth of the set's bytes, and bounds the likeness as the small ones do.
+    """
 
     def plausible(batches):
         most = (1 - threshold) / (1 + threshold)
@@ -217,9 +263,7 @@ def verified(docs: DataFrame, places: DataFrame, wide: DataFrame, words: int, th
         x, y = (wide.select(F.col("uid").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}")) for k in "ab")
         pairs = scratch.cut(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(plausible, "a bigint, b bigint"))
         uids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
-        asked = uids.count()
-        wanted = docs.select("doc_id", "text").join(small(places.join(small(uids, asked), "uid"), asked), "doc_id")
-        whole = scratch.cut(map_rows(wanted.select("uid", "sig", "text"), run, "uid bigint, tokens binary"))
+        whole = scratch.cut(whole_sets(docs, places, uids, words, lambda s: (s.tobytes(),), "uid bigint, tokens binary"))
         x, y = (whole.select(F.col("uid").alias(k), F.col("tokens").alias(f"s{k}")) for k in "ab")
         return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint").distinct()
 
@@ -231,12 +275,13 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
     if not 0.5 < threshold <= 1 or words < 1:
         raise ValueError("the threshold lies above 0.5 and up to 1, and a shingle has words")
     scratch = Scratch(docs.sparkSession, "shingles")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
+    known = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id"))
     meta = scratch.cut(sets(docs, words, threshold))
     classes = scratch.cut(
-        meta.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id())
+        meta.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("at"), F.min(known).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id())
     )
-    ids = classes.select("uid", F.col("first").alias("doc_id"), "sig")
+    ids = classes.select("uid", F.col("at").alias("doc_id"), "sig")
     # One row of each class stands for it; its id may be repeated, so the digest is compared too.
     same = ["doc_id", "sig"]
     low = meta.filter("n > 0").select("doc_id", "sig", "low").join(ids, same, "left_semi").dropDuplicates(same)
@@ -244,13 +289,12 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
     slim = scratch.cut(meta.select("doc_id", "n", "sig"))
     scratch.drop(meta)
     del low
-    scratch.release()
-    held = prefixes(docs, words, threshold, frequent_tokens).join(classes.select("uid", F.col("first").alias("doc_id"), "sig", "n"), same)
+    held = prefixes(docs, words, threshold, frequent_tokens).join(classes.select("uid", F.col("at").alias("doc_id"), "sig", "n"), same)
     whole = scratch.cut(held.drop("sig", "doc_id").dropDuplicates(["uid"]))
+    del held
     rows = whole.select("uid", "n", F.posexplode("prefix").alias("pos", "token"))
-    buckets = shared_buckets(scratch, index_rows(scratch, rows, threshold, frequent, combined))
-    del held, rows
-    scratch.release()
+    grouped = lambda uids: whole_sets(docs, ids, uids, words, lambda s: (len(s), *group_keys(s, threshold)), GROUPED)
+    buckets = shared_buckets(scratch, index_rows(scratch, rows, threshold, frequent, combined, grouped))
     sketches = whole.select("uid", *SKETCHES)
     buckets = scratch.cut(buckets.join(small(sketches, whole.count()), "uid"))
 
@@ -264,16 +308,26 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
         need = F.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
         return may_differ(x, y, SKETCHES, threshold) & (F.least(nx - F.col(f"{x}pos"), ny - F.col(f"{y}pos")) + 1 >= need)
 
-    roots = scratch.cut(linked_components(scratch, buckets, verified(docs, ids, whole.select("uid", "n", "wide"), words, threshold, scratch), may_link))
+    def long_sketches(uids: DataFrame) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> list:
+            folded = [np.bitwise_xor.reduce(np.frombuffer(w.as_buffer(), np.uint8).reshape(-1, 8 * LONG_SKETCH)).view(np.int64) for w in batch["wide"]]
+            return [batch["uid"], *(list(np.stack(folded)[:, i]) if folded else [] for i in range(LONG_SKETCH))]
+
+        return map_rows(whole.select("uid", "wide").join(small(uids, uids.count()), "uid"), run, "uid bigint, " + ", ".join(f"{c} bigint" for c in LONG_SKETCHES))
+
+    def may_still_link(x: str, y: str) -> F.Column:
+        return may_link(x, y) & (differing(x, y, LONG_SKETCHES) <= (F.col(f"{x}n") + F.col(f"{y}n")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+    verify = verified(docs, ids, whole.select("uid", "n", "wide"), words, threshold, scratch)
+    roots = scratch.cut(linked_components(scratch, buckets, verify, may_link, narrow=long_sketches, may_still_link=may_still_link))
     named = classes.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.cut(named.join(least, "root").select("sig", "component_id", "copies"))
     scratch.only(slim, named)
-    scratch.release()
     out = slim.join(named, "sig", "left")
     return out.select(
-        "doc_id",
+        known.alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("n") == 0, known).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("n") == 0, F.lit(1)).otherwise(F.col("copies")).cast("bigint").alias("copies"),
     )

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,28 @@ def test_op3_on_documents(spark):
     assert got == sorted([(1, 1), (1, 1), (2, 1), (2, 2), (None, 1), (None, None)], key=str)
 
 
+def test_null_ids_are_linked(spark):
+    words = [f"w{i}" for i in range(80)]
+    near = [" ".join(words), " ".join([*words[:79], "x"]), " ".join([*words[:79], "y"])]
+    rows = [(None, near[0]), (4, near[1]), (3, near[2]), (None, "q r s"), (None, "t u v")]
+    got = [(r.doc_id, r.component_id) for r in shingle_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 0.9).collect()]
+    assert sorted(got, key=str) == sorted([(None, 3), (4, 3), (3, 3), (None, None), (None, None)], key=str)
+
+
+def test_groups_of_linked_sets_meet():
+    """Sets at the threshold share the key of a group, whatever class their sizes lie in."""
+    rng = np.random.default_rng(5)
+    for threshold in (0.7, 0.8, 0.9):
+        for n in (*range(5, 60), 100, 333, 1000, 4000):
+            common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            spare = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            apart = int(n / threshold + 1e-9) - n
+            for split in (0, apart // 2, apart):
+                x, y = np.unique(np.concatenate([common, spare[:split]])), np.unique(np.concatenate([common, spare[n : n + apart - split]]))
+                (p, bare_p), (q, bare_q) = shingle_join.group_keys(x, threshold), shingle_join.group_keys(y, threshold)
+                assert np.intersect1d(p, q).size or (bare_p and bare_q)
+
+
 # 2: winnowing
 
 
@@ -178,12 +201,7 @@ def test_op2(spark):
 
 
 def line_set(line):
-    out, at = set(), 0
-    for m in re.finditer(r"[^\W_]+", line):
-        for i in range(m.start(), m.end(), line_dedup.STEP):
-            if i + line_dedup.SHINGLE <= len(line):
-                out.add(line[i : i + line_dedup.SHINGLE])
-    return out
+    return {line[i : i + line_dedup.SHINGLE] for i in range(len(line) - line_dedup.SHINGLE + 1)}
 
 
 def brute_dedup(rows):
