@@ -22,8 +22,9 @@ from runlens.llm.scratch import Scratch
 BROADCAST_ROWS = 400_000
 #: Hubs of a bucket in the first round and in each further one.
 HUBS = (4, 4)
-#: Pairs left for each row above which another round of hubs is worth its cost, and rounds of hubs at most.
-PAIRS_A_ROW, HUB_ROUNDS = 2, 6
+#: Another round of hubs is worth its cost above so many pairs left for each row, and if the one before found a link
+#: for so many rows left; and so many rounds are made at most. (Whatever they leave is tested pair by pair.)
+PAIRS_A_ROW, ROWS_A_LINK, HUB_ROUNDS = 8, 100, 6
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -77,7 +78,9 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 def shared_buckets(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """(key, uid, ...) restricted to keys of more than one uid."""
     keys = scratch.cut(rows.groupBy("key").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("lo != hi").select("key"))
-    return scratch.cut(rows.join(small(keys, keys.count()), "key"))
+    out = scratch.cut(rows.join(small(keys, keys.count()), "key"))
+    scratch.drop(keys)
+    return out
 
 
 def linked_components(
@@ -91,7 +94,7 @@ def linked_components(
 ) -> DataFrame:
     """(uid, root) for rows linked to another one.
 
-    ``buckets``: (key, uid, ...) where linked rows share a key. ``verify``: pairs (a, b), a < b, to
+    ``buckets``: (key, uid, ...) where linked rows share a key, a table of ``scratch``, which is dropped. ``verify``: pairs (a, b), a < b, to
     those that link. ``may_link``: an exact bound on two bucket rows (column prefixes) that rules pairs out.
     ``narrow``: from the distinct uids still in buckets of several components after the first round to (uid, ...), further
     columns for ``may_still_link``, the bound from then on.
@@ -125,16 +128,21 @@ def linked_components(
             roots = components(scratch, links) if new or roots is None else roots
         if last:
             return buckets.select("uid", F.col("uid").alias("root")).limit(0) if links is None else roots
+        spent = [buckets]
         if links is not None:
             labelled = scratch.cut(buckets.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
+            spent.append(labelled)
         counts = labelled.groupBy("key", "root").agg(F.count("*").cast("double").alias("m"))
         mixed = scratch.cut(counts.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("roots")).filter("roots > 1"))
-        rows, left_pairs = mixed.agg(F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0))).first()
-        labelled = scratch.cut(labelled.join(mixed.select("key"), "key", "left_semi"))
+        keys, rows, left_pairs = mixed.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0.0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0))).first()
+        labelled = labelled.join(small(mixed.select("key"), keys), "key", "left_semi")
         if narrow is not None and not turn:
             more = scratch.cut(narrow(labelled.select("uid").distinct()))
-            labelled = scratch.cut(labelled.join(small(more, more.count()), "uid"))
+            labelled = labelled.join(small(more, more.count()), "uid")
             may_link = may_still_link
+        labelled = scratch.cut(labelled)
+        scratch.drop(mixed, *spent)
         buckets = labelled.drop("root")  # the other buckets can join nothing any more
+        buckets._runlens_path = labelled._runlens_path
         turn += 1
-        last = not new or turn == HUB_ROUNDS or left_pairs <= PAIRS_A_ROW * rows
+        last = new * ROWS_A_LINK < rows or turn == HUB_ROUNDS or left_pairs <= PAIRS_A_ROW * rows

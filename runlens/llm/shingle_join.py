@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.near_links import differing, linked_components, may_differ, shared_buckets, small
+from runlens.llm.near_links import linked_components, may_differ, shared_buckets, small
 from runlens.llm.rows import map_rows, texts
 from runlens.llm.scratch import Scratch
 
@@ -44,9 +44,9 @@ LISTED_TOKENS = 1_000_000
 #: Longest prefix whose frequent tokens are combined.
 COMBINED_PREFIX = 12
 
-#: 64-bit words of a set's parity sketch, and of the one for rows left after the first hubs.
-SKETCH, LONG_SKETCH = 4, 32
-SKETCHES, LONG_SKETCHES = [f"s{i}" for i in range(SKETCH)], [f"t{i}" for i in range(LONG_SKETCH)]
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
 GROUPED = "uid bigint, n bigint, keys array<bigint>, bare boolean"
 #: Stands for a null doc_id inside.
 _NO_ID = -(1 << 63)
@@ -122,8 +122,8 @@ def group_keys(tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, bool]:
 
 
 def wide_sketch(tokens: np.ndarray) -> bytes:
-    """Parity bits in number about half the set's size: a power of two, those of the long sketch at least."""
-    bits = max(64 * LONG_SKETCH, 1 << (len(tokens) // 2).bit_length())
+    """Parity bits in number about half the set's size: a power of two, 512 at least."""
+    bits = 1 << max(9, (len(tokens) // 2).bit_length())
     return np.packbits(np.bincount((tokens >> np.uint64(30) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -308,18 +308,8 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
         need = F.ceil((nx + ny) * (threshold / (1 + threshold)) - 1e-9)
         return may_differ(x, y, SKETCHES, threshold) & (F.least(nx - F.col(f"{x}pos"), ny - F.col(f"{y}pos")) + 1 >= need)
 
-    def long_sketches(uids: DataFrame) -> DataFrame:
-        def run(batch: pa.RecordBatch) -> list:
-            folded = [np.bitwise_xor.reduce(np.frombuffer(w.as_buffer(), np.uint8).reshape(-1, 8 * LONG_SKETCH)).view(np.int64) for w in batch["wide"]]
-            return [batch["uid"], *(list(np.stack(folded)[:, i]) if folded else [] for i in range(LONG_SKETCH))]
-
-        return map_rows(whole.select("uid", "wide").join(small(uids, uids.count()), "uid"), run, "uid bigint, " + ", ".join(f"{c} bigint" for c in LONG_SKETCHES))
-
-    def may_still_link(x: str, y: str) -> F.Column:
-        return may_link(x, y) & (differing(x, y, LONG_SKETCHES) <= (F.col(f"{x}n") + F.col(f"{y}n")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-
     verify = verified(docs, ids, whole.select("uid", "n", "wide"), words, threshold, scratch)
-    roots = scratch.cut(linked_components(scratch, buckets, verify, may_link, narrow=long_sketches, may_still_link=may_still_link))
+    roots = scratch.cut(linked_components(scratch, buckets, verify, may_link))
     named = classes.join(small(roots, roots.count()), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = scratch.cut(named.join(least, "root").select("sig", "component_id", "copies"))
