@@ -88,16 +88,16 @@ def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
     first = scratch.cut(signed.groupBy("lid").agg(F.min(place).alias("at"), F.min("n").alias("n")))
     each = lambda line: signed.select(line, F.explode("keys").alias("key")).filter("key is not null")
     shared = scratch.cut(each(F.xxhash64("lid").alias("l")).groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo != hi").select("key"))
-    held = scratch.cut(each(F.col("lid")).join(small(shared, shared.count()), "key").distinct())
+    held = scratch.cut(each(F.col("lid")).join(small(shared, shared.count(), 8), "key").distinct())
     scratch.drop(signed, shared)
     ids = scratch.cut(held.select("lid").distinct().withColumn("uid", F.monotonically_increasing_id()))
     asked = ids.count()
-    named = first.join(small(ids, asked), "lid")
+    named = first.join(small(ids, asked, 40), "lid")
     places = named.select("lid", "uid", doc_of, pos_of).groupBy("doc").agg(F.collect_list(F.struct("pos", "uid", "lid")).alias("places"))
-    texts = _doc(docs).select(F.col(_ID).alias("doc"), F.split("text", "\n").alias("lines")).join(small(places, asked), "doc")
+    texts = _doc(docs).select(F.col(_ID).alias("doc"), F.split("text", "\n").alias("lines")).join(small(places, asked, 64), "doc")
     found = texts.select(F.explode(F.transform("places", lambda p: F.struct(p["uid"].alias("uid"), p["lid"].alias("lid"), F.get("lines", p["pos"]).alias("line")))).alias("p")).select("p.*")
     lines = scratch.cut(found.filter(_digest(F.col("line")) == F.col("lid")).select("uid", "line").dropDuplicates(["uid"]))
-    buckets = scratch.cut(held.join(small(named.select("lid", "uid", "n"), asked), "lid").select("key", "uid", "n"))
+    buckets = scratch.cut(held.join(small(named.select("lid", "uid", "n"), asked, 48), "lid").select("key", "uid", "n"))
     scratch.drop(held)
 
     def may_link(x: str, y: str) -> Column:
@@ -129,8 +129,8 @@ def kept_lines(docs: DataFrame, scratch: Scratch, threshold: float = THRESHOLD,
 
     roots = linked_components(scratch, buckets, verify, may_link, HUBS, sketches, may_still_link)
     members = roots.unionAll(roots.select(F.col("root").alias("uid"), "root").distinct())
-    members = scratch.cut(members.join(small(ids, asked), "uid").select("lid", "root"))
-    linked = small(members, members.count())
+    members = scratch.cut(members.join(small(ids, asked, 40), "uid").select("lid", "root"))
+    linked = small(members, members.count(), 40)
     alone = first.join(linked, "lid", "left_anti").select("at")
     led = first.join(linked, "lid").groupBy("root").agg(F.min("at").alias("at")).select("at")
     return alone.unionAll(led).select(doc_of, pos_of)

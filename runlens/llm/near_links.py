@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from runlens.llm.scratch import Scratch
 
-#: Rows of a side that may be broadcast, at most (two long columns: some tens of megabytes).
-BROADCAST_ROWS = 400_000
+#: Bytes of a side that may be broadcast, at most: its counted rows by the width of one. In memory a hash table takes some four times that.
+BROADCAST_BYTES = 32 << 20
 #: Hubs of a bucket in the first round and in each further one.
 HUBS = (4, 4)
 #: Another round of hubs is worth its cost above so many pairs left for each row, and if the one before found a link
@@ -27,9 +27,9 @@ HUBS = (4, 4)
 PAIRS_A_ROW, ROWS_A_LINK, HUB_ROUNDS = 8, 100, 6
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast where the counted rows are within the bound; else the planner's own join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, width: int = 16) -> DataFrame:
+    """Hint a broadcast where the counted rows, of ``width`` bytes each, are within the bound; else the planner's own join."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def differing(x: str, y: str, sketch: list[str]) -> F.Column:
@@ -138,7 +138,7 @@ def linked_components(
         labelled = labelled.join(small(mixed.select("key"), keys), "key", "left_semi")
         if narrow is not None and not turn:
             more = scratch.cut(narrow(labelled.select("uid").distinct()))
-            labelled = labelled.join(small(more, more.count()), "uid")
+            labelled = labelled.join(small(more, more.count(), 8 * len(more.columns)), "uid")
             may_link = may_still_link
         labelled = scratch.cut(labelled)
         scratch.drop(mixed, *spent)

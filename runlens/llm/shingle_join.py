@@ -191,7 +191,7 @@ def listed_tokens(tokens: DataFrame, frequent: int, most: int) -> np.ndarray:
 
 
 def index_rows(scratch: Scratch, rows: DataFrame, threshold: float, frequent: int, combined: int, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(key, uid, n, pos): rare tokens alone, frequent ones in pairs or, for large sets, in groups.
+    """(key, uid, n, pos) of keys with several uids: rare tokens alone, frequent ones in pairs or, for large sets, in groups.
 
     ``rows``: (token, uid, n, pos) of the extended prefixes. ``grouped``: from uids to (uid, n, keys, bare) of ``group_keys``.
     Linked sets differ in size by the threshold at most: sets up to ``top`` index pairs, sets from ``threshold * top``
@@ -213,7 +213,8 @@ def index_rows(scratch: Scratch, rows: DataFrame, threshold: float, frequent: in
     bare = groups.filter("bare").select("uid")
     groups = groups.select(F.explode("keys").alias("key"), "uid", "n", F.lit(0).alias("pos"))
     bare = live.filter(large).join(bare, "uid", "left_semi").select(F.xxhash64("token", F.lit("bare")).alias("key"), "uid", "n", F.lit(0).alias("pos"))
-    return alone.unionAll(pairs).unionAll(groups).unionAll(bare)
+    # A token's rows share it already; the other keys may have a row alone.
+    return alone.unionAll(shared_buckets(scratch, pairs.unionAll(groups).unionAll(bare)))
 
 
 def whole_sets(docs: DataFrame, places: DataFrame, uids: DataFrame, words: int, made: Callable[[np.ndarray], tuple], schema: str) -> DataFrame:
@@ -231,7 +232,7 @@ def whole_sets(docs: DataFrame, places: DataFrame, uids: DataFrame, words: int,
         return list(map(list, zip(*out, strict=True))) if out else [[]] * len(schema.split(","))
 
     asked = uids.count()
-    wanted = docs.select("doc_id", "text").join(small(places.join(small(uids, asked), "uid"), asked), "doc_id")
+    wanted = docs.select("doc_id", "text").join(small(places.join(small(uids, asked), "uid"), asked, 48), "doc_id")
     return map_rows(wanted.select("uid", "sig", "text"), run, schema)
 
 
@@ -294,9 +295,9 @@ def join(docs: DataFrame, words: int = 5, threshold: float = 0.8, frequent: int
     del held
     rows = whole.select("uid", "n", F.posexplode("prefix").alias("pos", "token"))
     grouped = lambda uids: whole_sets(docs, ids, uids, words, lambda s: (len(s), *group_keys(s, threshold)), GROUPED)
-    buckets = shared_buckets(scratch, index_rows(scratch, rows, threshold, frequent, combined, grouped))
+    buckets = index_rows(scratch, rows, threshold, frequent, combined, grouped)
     sketches = whole.select("uid", *SKETCHES)
-    buckets = scratch.cut(buckets.join(small(sketches, whole.count()), "uid"))
+    buckets = scratch.cut(buckets.join(small(sketches, whole.count(), 8 + 8 * SKETCH), "uid"))
 
     def may_link(x: str, y: str) -> F.Column:
         """Sizes within the threshold, and enough tokens left from the first shared one on.
