@@ -108,7 +108,10 @@ def format_conversations(rows: DataFrame, template: Template = Template()) -> Da
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """conv_id, turns (role, text) parsed from the formatted text, loss_text under the loss mask, both unescaped."""
+    """conv_id, turns (role, text) parsed from the formatted text, its loss_text, both unescaped, and the machine's verdict.
+
+    The loss text is cut from the formatted text too: of each block the text, where the mask has its segment learned.
+    """
     blocks = F.filter(F.split("formatted", "\\Q" + template.close + "\\E"), lambda b: b != "")
 
     def turn(block: Column) -> Column:
@@ -117,5 +120,12 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
         text = F.substr(body, F.length(role) + len(template.after_role) + 1)
         return F.struct(unescape_role(role, template).alias("role"), unescape(text, template).alias("text"))
 
-    learned = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template))
-    return formatted.select("conv_id", F.transform(blocks, turn).alias("turns"), F.array_join(learned, "").alias("loss_text"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    learned = F.transform(blocks, lambda b, i: F.when(F.get("segments", 3 * i + 1)["loss"], turn(b)["text"]).otherwise(""))
+    return formatted.select(
+        "conv_id",
+        F.transform(blocks, turn).alias("turns"),
+        F.array_join(learned, "").alias("loss_text"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "valid",
+        "bad_turn",
+    )

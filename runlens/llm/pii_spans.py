@@ -8,11 +8,12 @@ not overlapping within a kind, a match that fails validation is dropped); ``url`
 
 Why the local parsers see what a scan of the whole text would: each fixed pattern matches
 inside one maximal run of its own alphabet that holds its anchor, so nothing outside the run
-can change its matches.
+can change its matches. Cues and schemes count in any case; a street's number stands within 80 characters before its cue.
 
 Defined results: a null or empty text has no spans; positions count code points, end
-exclusive, over the whole text whatever its length; equal texts have equal spans; an empty
-table gives an empty result; further columns are ignored.
+exclusive, over the whole text whatever its length; equal texts have equal spans; where matches of a kind could
+overlap the leftmost one counts (of cues that end at one place, the longer); rows that repeat a doc_id or have a null one each count
+as a document; an empty table gives an empty result; further columns are ignored by ``find`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ZONE = frozenset("0123456789 .()+-")
 _ZONE_END = re.compile(r"[0-9 .()+-]*")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Numbers joined by dots, as many as there are: taken at once, a run of digits is read once, not from each of its places.
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL_END = re.compile(r"[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]*")
@@ -47,6 +49,7 @@ _ACCOUNT = re.compile(r"[\"']?\s{0,3}(?:[:=#]|no\.?|number)\s{0,3}[\"']?([A-Za-z
 _AKIA = re.compile(r"[0-9A-Z]{16}(?![0-9A-Za-z])")
 _HOUSE = re.compile(r"([0-9]{1,5}[A-Za-z]?,? (?:[^\W\d_][\w'.-]*,? ){0,3}[^\W\d_][\w'.-]*)\Z")
 _AFTER = re.compile(r"[^\W\d_][\w'-]*(?: [^\W\d_][\w'-]*)? [0-9]{1,5}[A-Za-z]?\b")
+_LOWER = {i: i + 32 for i in range(65, 91)}
 _NON_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -58,8 +61,7 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(d, ("9", ""))
     for kind, words in (("url", SCHEMES), ("account", ACCOUNT_CUES), ("address", STREET_CUES)):
         for w in words:
-            for form in {w, w.upper(), w.title()}:
-                a.add_word(form, (kind, w))
+            a.add_word(w, (kind, w))
     a.make_automaton()
     return a
 
@@ -74,7 +76,10 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int,
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     zone_end = email_end = 0
     cues: list[tuple[str, str, int]] = []
-    for last, (kind, word) in anchors.iter(text):
+    lower = text.lower()
+    if len(lower) != len(text):  # a few letters grow when lowered; positions must stay
+        lower = text.translate(_LOWER)
+    for last, (kind, word) in anchors.iter(lower):
         if kind == "9":
             if last < zone_end:
                 continue
@@ -99,9 +104,14 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int,
 
 
 def _numbers(text: str, start: int, end: int, found: dict[str, list[tuple[int, int]]]) -> None:
-    for m in _IP.finditer(text, start, end):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
-            found["ip"].append(m.span())
+    for m in _DOTTED.finditer(text, start, end):
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):  # leftmost matches follow each other by four numbers
+            four = parts[i : i + 4]
+            size = sum(map(len, four)) + 3
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in four):
+                found["ip"].append((at, at + size))
+            at += size + 1
     for m in _CARD.finditer(text, start, end):
         digits = _NON_DIGIT.sub("", m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):

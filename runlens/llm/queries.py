@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from runlens.llm import chat_format, language_id, line_dedup, ogg_media, pii_spans, piece_codec, shingle_join, token_packing, warc_zst, winnowing
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -67,6 +66,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("bigint").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
+        "valid",
+        "bad_turn",
     )
 
 
@@ -82,10 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-QUERIES["pipeline"] = corpus_pipeline.run
-
+_TEMPLATE = chat_format.Template()
+_ALLOWED = ", ".join(f"'{a}>{b}'" for a, to in _TEMPLATE.transitions.items() for b in to)
+_FINAL = ", ".join(f"'{r}'" for r in _TEMPLATE.final)
 _ESCAPED = "coalesce(text, '')"
-for _plain, _code in chat_format.Template().codes():
+for _plain, _code in _TEMPLATE.codes():
     _ESCAPED = f"replace({_ESCAPED}, '{_plain}', '{_code}')"
 
 #: Only the chat query is expressible; the others are tested against brute force, round trips or held-out accuracy.
@@ -93,7 +95,10 @@ ORACLE_SQL: dict[str, str] = {
     "op9_chat_format": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
 UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, r)),
-g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss, sum(length({_ESCAPED}) + length(role) + 24)::BIGINT AS formatted_chars FROM c GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+o AS (SELECT *, row_number() OVER w - 1 AS i, coalesce(lag(role) OVER w, '{_TEMPLATE.start}') || '>' || role AS step
+FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said,
+coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '') AS loss, sum(length({_ESCAPED}) + length(role) + 24)::BIGINT AS formatted_chars,
+coalesce(min(i) FILTER (WHERE step NOT IN ({_ALLOWED})), CASE WHEN arg_max(role, i) NOT IN ({_FINAL}) THEN count(*) END)::BIGINT AS bad_turn FROM o GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, bad_turn IS NULL AS valid, bad_turn FROM g""",
 }
