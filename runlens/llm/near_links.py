@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from runlens.llm.scratch import Scratch
 
 #: Bytes of a side that may be broadcast, at most: its counted rows by the width of one. In memory a hash table takes some four times that.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 #: Hubs of a bucket in the first round and in each further one.
 HUBS = (4, 4)
 #: Another round of hubs is worth its cost above so many pairs left for each row, and if the one before found a link
