@@ -1,11 +1,10 @@
-"""Opaque computations on source text: parsing, brace matching, splicing and diffs, as Arrow-batched functions."""
+"""Opaque computations on source text: parsing, scopes, splicing and diffs, as Arrow-batched functions."""
 
 from __future__ import annotations
 
 import ast
 import difflib
 import re
-import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,45 +44,34 @@ def python_scopes(source: str) -> list[tuple]:
     return [(*k, *v) for k, v in found.items()]
 
 
-_BRACED = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:(?:abstract\s+)?class\s+(?P<cls>\w+)|(?:async\s+)?function\s*\*?\s*(?P<fn>\w+)|func\s+(?:\([^)]*\)\s*)?(?P<go>\w+)|type\s+(?P<struct>\w+)\s+struct)[^{;\n]*\{", re.M)
-
-
-def closing_brace(source: str, at: int) -> int:
-    """The place of the brace that closes the one at ``at``, quotes skipped; the end of text if none."""
-    depth, quote, i = 0, "", at
-    while i < len(source):
-        c = source[i]
-        if quote:
-            if c == "\\":
-                i += 1
-            elif c == quote:
-                quote = ""
-        elif c in "\"'`":
-            quote = c
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return i
-        i += 1
-    return len(source) - 1
+_NAME = r"[A-Za-z_$][\w$]*"
+# The forms of a function in brace languages, named function, arrow function and Go function.
+_FUNCTIONS = re.compile(
+    "|".join(
+        (
+            rf"(?:export\s+)?(?:async\s+)?function\s+(?P<named>{_NAME})\s*\([^)]*\)\s*\{{",
+            rf"(?P<arrow>{_NAME})\s*[:=]\s*(?:async\s*)?\([^)]*\)\s*=>\s*\{{",
+            r"func\s+(?:\([^)]*\)\s*)?(?P<go>[A-Za-z_]\w*)\s*\([^)]*\)[^{]*\{",
+        )
+    )
+)
+#: A quoted string (to the end of text where it isn't closed) or a brace.
+_QUOTED_OR_BRACE = re.compile(r"""(["'`])(?:\\.?|(?!\1)[^\\])*+(?:\1|\Z)|[{}]""", re.S)
 
 
 def brace_scopes(source: str) -> list[tuple]:
-    """Scopes of brace languages; a function inside a class's braces is its method."""
-    out, classes = [], []
-    for m in _BRACED.finditer(source):
-        end = closing_brace(source, m.end() - 1)
-        first, last = source.count("\n", 0, m.start()) + 1, source.count("\n", 0, end) + 1
-        cls, fn = m["cls"] or m["struct"], m["fn"] or m["go"]
-        if cls:
-            classes.append((cls, m.start(), end))
-            out.append((cls, None, first, last, None))
-        else:
-            owner = next((c for c, s, e in reversed(classes) if s < m.start() < e), None)
-            out.append((owner, fn, first, last, None))
-    return out
+    """Functions of brace languages, each to the brace that closes its first one (else to the end); of equal names the last stands."""
+    ends: dict[str, tuple[int, int]] = {}
+    for m in _FUNCTIONS.finditer(source):
+        level, end = 0, len(source) - 1
+        for token in _QUOTED_OR_BRACE.finditer(source, m.end() - 1):
+            level += {"{": 1, "}": -1}.get(token[0], 0)
+            if not level and token[0] == "}":
+                end = token.start()
+                break
+        ends[m[m.lastgroup]] = (m.start(), end)
+    line = lambda at: source.count("\n", 0, at) + 1
+    return [(None, name, line(start), line(end), None) for name, (start, end) in ends.items()]
 
 
 def scopes(files: DataFrame) -> DataFrame:
@@ -121,11 +109,15 @@ def parses(source: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def reindent(code: pd.Series, base: pd.Series) -> pd.Series:
-    """Code shifted so that its least indent is ``base`` spaces; nothing becomes ``pass``."""
+    """Code shifted so that its least indent is ``base`` characters, tabs counted as one; blank lines stay, bare; nothing becomes ``pass``."""
 
     def one(text, n):
-        bare = textwrap.dedent((text or "").expandtabs(4)).strip("\n")
-        return textwrap.indent(bare if bare.strip() else "pass", " " * int(n))
+        rows = (text or "").split("\n")
+        indents = [len(r) - len(r.lstrip()) for r in rows]
+        least = min((i for i, r in zip(indents, rows, strict=True) if r.strip()), default=None)
+        if least is None:
+            return " " * int(n) + "pass"
+        return "\n".join(" " * max(0, i + int(n) - least) + r.lstrip() if r.strip() else "" for i, r in zip(indents, rows, strict=True))
 
     return pd.Series([one(t, n) for t, n in zip(code, base, strict=True)])
 

@@ -152,9 +152,9 @@ def submission_state(output: Column) -> Column:
 
 
 def code_block(text: Column) -> Column:
-    """The first fenced block, without a python label, else all of the text."""
+    """The first fenced block, without a python label, else all of the text; brackets are closed."""
     inner = F.regexp_extract(text, r"(?s)```(?:python)?\s*(.*?)```", 1)
-    return strip(F.when(text.rlike(r"(?s)```.*?```"), inner).otherwise(text))
+    return close_brackets(strip(F.when(text.rlike(r"(?s)```.*?```"), inner).otherwise(text)))
 
 
 def strip_fences(text: Column) -> Column:
@@ -162,12 +162,11 @@ def strip_fences(text: Column) -> Column:
 
 
 def close_brackets(code: Column) -> Column:
-    """Closers that are missing by count, in the order ), ], }."""
-    out = code
-    for a, b in (("\\(", "\\)"), ("\\[", "\\]"), ("\\{", "\\}")):
-        lack = F.regexp_count(code, F.lit(a)) - F.regexp_count(code, F.lit(b))
-        out = F.concat(out, F.repeat(F.lit(b[-1]), F.greatest(lack, F.lit(0))))
-    return out
+    """Closers that are missing by count, in the order ), ], }, after `` else None`` where an inline condition dangles."""
+    lacking = [(F.regexp_count(code, F.lit(a)) - F.regexp_count(code, F.lit(b)), b[-1]) for a, b in (("\\(", "\\)"), ("\\[", "\\]"), ("\\{", "\\}"))]
+    dangling = (F.greatest(*(n for n, _ in lacking)) > 0) & code.contains(" if ") & ~code.contains(" else ")
+    whole = F.when(dangling, F.concat(F.regexp_replace(code, rf"{SPACE}+\z", ""), F.lit(" else None"))).otherwise(code)
+    return F.concat(whole, *(F.repeat(F.lit(closer), F.greatest(n, F.lit(0))) for n, closer in lacking))
 
 
 def delimiters_balanced(code: Column, slack: int = 2) -> Column:

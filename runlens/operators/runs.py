@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.functions.text import shorten
+
 
 def select_instances(rows: DataFrame, key: str = "instance_id", ids: DataFrame | None = None, pattern: str | None = None, slice_spec: str = "", shuffle: bool = False) -> DataFrame:
     """An id list or else a pattern anchored at the start, then a slice start:stop:step of the ordered rows.
@@ -31,16 +33,25 @@ def not_done(rows: DataFrame, done: DataFrame, key: str = "instance_id") -> Data
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def upsert(base: DataFrame, log: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row per key of a base and a log of changes; a null ``value`` in the log's last change deletes."""
-    last = base.unionByName(log).groupBy(key).agg(F.max_by(F.struct(*(c for c in base.columns if c not in (key, order))), order).alias("r"))
-    return last.select(key, "r.*")
+def upsert(base: DataFrame, log: DataFrame, key: str, order: str, value: str = "value") -> DataFrame:
+    """The last row per key of a base and a log of changes, with the base's columns; a null ``value`` in the last change deletes."""
+    last = base.unionByName(log).groupBy(key).agg(F.max_by(F.struct(*(c for c in base.columns if c != key)), order).alias("r"))
+    return last.select(key, "r.*").filter(F.col(value).isNotNull()).select(*base.columns)
+
+
+#: Newest ids kept per status: however short, they fill the text shown.
+SHOWN = 60
 
 
 def status_report(rows: DataFrame, status: str, key: str, arrival: str, most: int = 55) -> DataFrame:
-    """Rows per status and the ids, latest first, as one text of at most ``most`` characters."""
-    g = rows.groupBy(status).agg(F.count("*").alias("n"), F.reverse(F.array_sort(F.collect_list(F.struct(arrival, F.col(key).cast("string").alias("k"))))).alias("l"))
-    return g.select(status, "n", F.substring(F.array_join(F.transform("l", lambda x: x["k"]), ", "), 1, most).alias("latest"))
+    """Rows per status and the newest ids as one text of ``most`` characters, shortened with dots or padded."""
+    shown = max(SHOWN, most)
+    text = F.col(key).cast("string")
+    newest = Window.partitionBy(status).orderBy(F.col(arrival).desc(), text.desc())
+    top = rows.select(status, text.alias("k"), F.row_number().over(newest).alias("i")).filter(F.col("i") <= shown)
+    listed = top.groupBy(status).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "k"))), lambda x: x["k"]), ", ").alias("l"))
+    counts = rows.groupBy(status).agg(F.count("*").alias("n"))
+    return counts.join(listed, counts[status].eqNullSafe(listed[status])).select(counts[status], "n", shorten(F.col("l"), most).alias("latest"))
 
 
 def run_summary(rows: DataFrame, ok: Column) -> DataFrame:

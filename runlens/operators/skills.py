@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.ids import file_of, number_of, repo_of
@@ -62,22 +62,47 @@ def first_injections(mentions: DataFrame, items: DataFrame, selected: DataFrame)
     return mentions.join(paths, "filepath").groupBy("run_id", "api_path").agg(F.min("pos").alias("pos"))
 
 
+def _entries() -> Column:
+    return F.try_variant_get(F.try_parse_json("response"), "$", "array<variant>")
+
+
+def _string(v: Column, path: str = "$") -> Column:
+    """The string at a path of a variant, null where another type stands or nothing."""
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def _or_empty(v: Column, key: str) -> Column:
+    """A string that may be left out, then empty; null where another type stands."""
+    return F.when(F.try_variant_get(v, f"$.{key}", "variant").isNull(), "").otherwise(_string(v, f"$.{key}"))
+
+
+def _known(path: Column) -> Column:
+    return F.coalesce(F.array_contains("candidates", path), F.lit(False))
+
+
 def valid_local(rows: DataFrame) -> DataFrame:
-    """(.., response, candidates) with ``items``: the parsed skills, null unless every one is right."""
-    shape = "array<struct<api_path:string,experience_or_reflection:string,issue:string,thinking:string>>"
-    parsed = F.from_json(F.to_json(F.try_parse_json("response")), shape)
-    filled = lambda s, c: F.trim(F.coalesce(s[c], F.lit(""))) != ""
-    ok = F.forall(parsed, lambda s: F.coalesce(F.array_contains("candidates", s["api_path"]), F.lit(False)) & filled(s, "experience_or_reflection"))
-    return rows.withColumn("items", F.when(ok & (F.size(parsed) > 0), parsed))
+    """(.., response, candidates) with ``items``: the parsed skills, null unless every one has a known path and two strings (empty ones too)."""
+    fields = ("api_path", "experience_or_reflection", "thinking")
+    items = F.transform(_entries(), lambda v: F.struct(*(_string(v, f"$.{k}").alias(k) for k in fields)))
+    ok = F.forall(items, lambda s: _known(s["api_path"]) & s["experience_or_reflection"].isNotNull() & s["thinking"].isNotNull())
+    return rows.withColumn("items", F.when(ok & (F.size(items) > 0), items))
 
 
 def valid_global(rows: DataFrame) -> DataFrame:
-    """As ``valid_local`` for global skills; a related path may be a string or an object."""
-    entries = F.try_variant_get(F.try_parse_json("response"), "$", "array<variant>")
-    text = lambda v, k: F.coalesce(F.try_variant_get(v, f"$.{k}", "string"), F.lit(""))
-    related = lambda v: F.coalesce(F.try_variant_get(v, "$.related_apis", "array<variant>"), F.array().cast("array<variant>"))
-    one = lambda r: F.struct(F.coalesce(F.try_variant_get(r, "$.api_path", "string"), F.try_variant_get(r, "$", "string")).alias("api_path"), text(r, "reason").alias("reason"))
-    known = lambda p: F.coalesce(F.array_contains("candidates", p), F.lit(False))
-    ok = F.forall(entries, lambda v: known(text(v, "api_path")) & (F.trim(text(v, "purpose")) != "") & F.forall(related(v), lambda r: known(one(r)["api_path"])))
-    items = F.transform(entries, lambda v: F.struct(text(v, "api_path").alias("api_path"), text(v, "purpose").alias("purpose"), text(v, "playbook").alias("playbook"), text(v, "thinking").alias("thinking"), F.transform(related(v), one).alias("related_apis")))
-    return rows.withColumn("items", F.when(ok & (F.size(entries) > 0), items))
+    """As ``valid_local`` for global skills: a purpose, and optionally playbook, thinking and a list of related paths, strings or objects."""
+
+    def related(v: Column) -> Column:
+        one = lambda r: F.struct(F.coalesce(_string(r), _string(r, "$.api_path")).alias("api_path"), F.when(_string(r).isNotNull(), "").otherwise(_or_empty(r, "reason")).alias("reason"))
+        listed = F.try_variant_get(v, "$.related_apis", "array<variant>")
+        none = F.when(F.try_variant_get(v, "$.related_apis", "variant").isNull(), F.array().cast("array<struct<api_path:string,reason:string>>"))
+        return F.coalesce(F.transform(listed, one), none)
+
+    items = F.transform(
+        _entries(),
+        lambda v: F.struct(
+            _string(v, "$.api_path").alias("api_path"), _string(v, "$.purpose").alias("purpose"), _or_empty(v, "playbook").alias("playbook"), _or_empty(v, "thinking").alias("thinking"), related(v).alias("related_apis")
+        ),
+    )
+    whole = lambda s: s["purpose"].isNotNull() & s["playbook"].isNotNull() & s["thinking"].isNotNull() & s["related_apis"].isNotNull()
+    ok = F.forall(items, lambda s: _known(s["api_path"]) & whole(s) & F.forall(s["related_apis"], lambda r: _known(r["api_path"]) & r["reason"].isNotNull()))
+    return rows.withColumn("items", F.when(ok & (F.size(items) > 0), items))

@@ -57,7 +57,7 @@ def accesses(step_rows: DataFrame) -> DataFrame:
     found = F.transform(F.filter(F.transform(out_lines, strip), is_source_file), lambda x: _event("SEARCH", x))
     find = F.when(a.contains("find ") & seen.rlike(_EXT), found).otherwise(F.filter(found, lambda _: F.lit(False)))
     grep_re = r"""grep\s+(?:-[\p{L}\p{N}_]+\s+)*["']?([^"']+)["']?\s+(\S+)"""
-    target = F.when(has(grep_re), group(grep_re, 2)).otherwise(group(r"(\S+)\s*$", 1))
+    target = F.when(has(grep_re), group(grep_re, 2)).otherwise(F.when(is_source_file(group(r"(\S+)\s*$", 1)), group(r"(\S+)\s*$", 1)).otherwise(""))
     named, bare = rf"^(\S+{_EXT}):(\d+):", r"^(\d+):"
     hits = F.transform(
         F.filter(out_lines, lambda x: x.rlike(named) | x.rlike(bare)),
@@ -65,13 +65,19 @@ def accesses(step_rows: DataFrame) -> DataFrame:
     )
     grep = F.when(a.contains("grep ") & (F.size(hits) > 0), hits).otherwise(_one(a.contains("grep ") & (target != ""), _event("SEARCH", target)))
     span, line = r"""sed\s+-n\s+['"]?(\d+),(\d+)p['"]?\s+(\S+)""", r"""sed\s+-n\s+['"]?(\d+)p['"]?\s+(\S+)"""
-    view = F.when(has(span), _one(a.contains("sed -n"), _event("VIEW", group(span, 3), group(span, 1), group(span, 2)))).otherwise(_one(a.contains("sed -n") & has(line), _event("VIEW", group(line, 2), group(line, 1), group(line, 1))))
-    nl = rf"""nl\s+(?:-\S+\s+)*({path})\s*\|\s*sed\s+-n\s+['"]?(\d+),(\d+)p"""
-    numbered = _one(has(nl), _event("VIEW", group(nl, 1), group(nl, 2), group(nl, 3)))
-    cat = _one(has(rf"\bcat\s+({path})") & ~a.contains("sed -n"), _event("VIEW", group(rf"\bcat\s+({path})", 1)))
-    head = _one(has(rf"\bhead\s+-n\s+(\d+)\s+({path})"), _event("VIEW", group(rf"\bhead\s+-n\s+(\d+)\s+({path})", 2), F.lit("1"), group(rf"\bhead\s+-n\s+(\d+)\s+({path})", 1)))
-    tail = _one(has(rf"\btail\s+-n\s+(\d+)\s+({path})"), _event("VIEW", group(rf"\btail\s+-n\s+(\d+)\s+({path})", 2)))
+    viewing = a.contains("sed -n") | a.contains("sed  -n")
+    view = F.when(has(span), _one(viewing, _event("VIEW", group(span, 3), group(span, 1), group(span, 2)))).otherwise(_one(viewing & has(line), _event("VIEW", group(line, 2), group(line, 1), group(line, 1))))
+    # Fixed values, as the commands above and below: numbered views of a range or of one line.
+    nl = rf"""nl\s+(?:-[\p{{L}}\p{{N}}_]+\s+)*({path})\s*\|\s*sed\s+-n\s+['"]?(\d+)"""
+    nl_span, nl_line = nl + r",(\d+)p", nl + "p"
+    piped = a.contains("nl ") & a.contains("sed -n")
+    numbered = F.when(has(nl_span), _one(piped, _event("VIEW", group(nl_span, 1), group(nl_span, 2), group(nl_span, 3)))).otherwise(_one(piped & has(nl_line), _event("VIEW", group(nl_line, 1), group(nl_line, 2), group(nl_line, 2))))
+    cat = _one(has(rf"\bcat\s+({path})") & a.contains("cat ") & ~a.contains("sed -n"), _event("VIEW", group(rf"\bcat\s+({path})", 1)))
+    top, end = rf"\bhead\s+-n\s+(\d+)\s+({path})", rf"\btail\s+-n\s+(\d+)\s+({path})"
+    ends = a.contains("head ") | a.contains("tail ")
+    head = _one(ends & has(top), _event("VIEW", group(top, 2), F.lit("1"), group(top, 1)))
+    tail = _one(ends & has(end) & ~has(top), _event("VIEW", group(end, 2)))
     inplace, at = rf"sed\s+-i\s+.*\s+({path})", r"""sed\s+-i\s+['"]?(\d+)(?:,(\d+))?"""
-    edit = _one(has(inplace), _event("EDIT", group(inplace, 1), group(at, 1), F.coalesce(F.nullif(group(at, 2), F.lit("")), group(at, 1))))
+    edit = _one(has(inplace) & (a.contains("sed -i") | a.contains("sed  -i")), _event("EDIT", group(inplace, 1), group(at, 1), F.coalesce(F.nullif(group(at, 2), F.lit("")), group(at, 1))))
     events = F.concat(find, grep, view, numbered, cat, head, tail, edit)
     return step_rows.select(*step_rows.columns, F.posexplode(events).alias("rule_pos", "e")).select(*step_rows.columns, "rule_pos", "e.*")

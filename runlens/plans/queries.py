@@ -246,7 +246,8 @@ def observation_elide(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.elide(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
-@query("""SELECT event_type AS status, count(*) AS n, left(string_agg(event_id::VARCHAR, ', ' ORDER BY event_id DESC), 55) AS latest FROM events GROUP BY event_type""")
+@query("""SELECT status, n, CASE WHEN length(l) > 55 THEN left(l, 52) || '...' ELSE rpad(l, 55, ' ') END AS latest FROM
+(SELECT event_type AS status, count(*) AS n, string_agg(event_id::VARCHAR, ', ' ORDER BY event_id DESC) AS l FROM events GROUP BY event_type)""")
 def status_report(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("status"), "event_id", F.col("event_id").alias("arrival"))
     return runs.status_report(e, "status", "event_id", "arrival")
@@ -305,9 +306,10 @@ def resume_antijoin(spark, sf_dir):
     return runs.not_done(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id""")
+@query("""SELECT user_id, event_id, event_type, value FROM (SELECT user_id, event_id, event_type, CASE WHEN event_id % 10 <> 5 THEN value END AS value,
+row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS i FROM events) WHERE i = 1 AND value IS NOT NULL""")
 def preds_upsert(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_id") % 10 != 5, F.col("value")).alias("value"))
     return runs.upsert(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "user_id", "event_id")
 
 
@@ -361,9 +363,11 @@ def diff_files(spark, sf_dir):
     return v.select("id", F.array_join(text.diff_files(F.col("value")), ",").alias("files"))
 
 
-@query("""SELECT * FROM (VALUES (0::BIGINT, 'pkg/a.py', 'SEARCH', 3, 3), (1, 'src/a.py', 'SEARCH', 7, 7), (2, 'pkg/a.py', 'EDIT', 10, 12), (3, 'a.py', 'VIEW', 1, 20), (4, 'a.py', 'VIEW', NULL, NULL), (5, 'pkg/b.go', 'VIEW', 2, 9), (6, 'c.ts', 'VIEW', NULL, NULL)) t(id, filepath, access_type, start_line, end_line)""")
+@query("""SELECT * FROM (VALUES (0::BIGINT, 'pkg/a.py', 'SEARCH', 3, 3), (1, 'src/a.py', 'SEARCH', 7, 7), (2, 'pkg/a.py', 'EDIT', 10, 12), (3, 'a.py', 'VIEW', 1, 20), (4, 'a.py', 'VIEW', NULL, NULL), (5, 'pkg/b.go', 'VIEW', 2, 9), (6, 'c.ts', 'VIEW', NULL, NULL),
+(8, 'a.py', 'VIEW', 5, 5), (9, 'a.py', 'VIEW', 3, 4), (10, 'a.py', 'VIEW', 1, 3), (11, 'a.py', 'SEARCH', NULL, NULL)) t(id, filepath, access_type, start_line, end_line)""")
 def access_extract(spark, sf_dir):
-    rows = [(0, 'grep -n "def f" pkg/a.py', "3:def f():"), (1, "grep -rn foo src/ | head -5", "src/a.py:7:foo"), (2, "sed -i '10,12s/a/b/' /testbed/pkg/a.py", ""), (3, "head -n 20 a.py", ""), (4, "tail -n 20 a.py", ""), (5, "sed -n '2,9p' ./pkg/b.go", ""), (6, "cat c.ts", "")]
+    rows = [(0, 'grep -n "def f" pkg/a.py', "3:def f():"), (1, "grep -rn foo src/ | head -5", "src/a.py:7:foo"), (2, "sed -i '10,12s/a/b/' /testbed/pkg/a.py", ""), (3, "head -n 20 a.py", ""), (4, "tail -n 20 a.py", ""), (5, "sed -n '2,9p' ./pkg/b.go", ""), (6, "cat c.ts", ""),
+        (7, "grep foo", ""), (8, "nl -ba a.py | sed -n '5p'", ""), (9, "sed  -n '3,4p' a.py", ""), (10, "head -n 3 a.py; tail -n 2 b.py", ""), (11, "grep foo a.py", "")]
     df = spark.createDataFrame(rows, "id bigint, action string, observation string")
     return trajectories.accesses(df).select("id", "filepath", "access_type", "start_line", "end_line")
 
@@ -386,9 +390,10 @@ def coverage_jest(spark, sf_dir):
     return scopes.jest_coverage(_values(spark, [j]), "/r/")
 
 
-@query("""SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (1, NULL), (2, NULL)) t(id, n_items)""")
+@query("""SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (1, NULL), (2, NULL), (3, NULL), (4, NULL)) t(id, n_items)""")
 def validate_skills(spark, sf_dir):
-    v = _values(spark, ['[{"api_path": "a.py", "experience_or_reflection": "e"}]', '[{"api_path": "a.py", "experience_or_reflection": "e"}, {"api_path": "z.py", "experience_or_reflection": "e"}]', "broken"], "response")
+    v = _values(spark, ['[{"api_path": "a.py", "experience_or_reflection": "", "thinking": "t"}]', '[{"api_path": "a.py", "experience_or_reflection": "e", "thinking": ""}, {"api_path": "z.py", "experience_or_reflection": "e", "thinking": ""}]', "broken",
+        '[{"api_path": "a.py", "experience_or_reflection": "e"}]', '[{"api_path": "a.py", "experience_or_reflection": 5, "thinking": ""}]'], "response")
     return skills.valid_local(v.withColumn("candidates", F.array(F.lit("a.py")))).select("id", long(F.size("items")).alias("n_items"))
 
 

@@ -48,14 +48,17 @@ def jsonl(spark: SparkSession, path: str, lenient: bool = True) -> DataFrame:
 
 
 def golden(spark: SparkSession, path: str, first_wins: bool = False) -> DataFrame:
-    """instance_id and record from JSONL, a list, an object of objects, or one object; of repeated ids the last (or first) stands."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("content")).withColumn("v", F.try_parse_json("content"))
+    """instance_id and record from JSONL (by the file's name), a list, an object of objects, or one object; of repeated ids the last (or first) stands."""
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_name").contains("jsonl").alias("by_line"))
+    files = files.withColumn("v", F.when(~F.col("by_line"), F.try_parse_json("content")))
     kind = F.schema_of_variant("v")
     lists = files.filter(kind.startswith("ARRAY")).select(F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("ord", "r"))
     one = files.filter(kind.startswith("OBJECT") & F.try_variant_get("v", "$.instance_id", "string").isNotNull()).select(F.lit(0).alias("ord"), F.col("v").alias("r"))
-    maps = files.filter(kind.startswith("OBJECT") & F.try_variant_get("v", "$.instance_id", "string").isNull()).select(F.posexplode(F.map_values(F.try_variant_get("v", "$", "map<string,variant>"))).alias("ord", "r"))
-    lines = files.filter("v is null").select(F.posexplode(F.split("content", "\r?\n")).alias("ord", "line")).select("ord", F.try_parse_json("line").alias("r")).filter("r is not null")
-    rows = lists.unionAll(one).unionAll(maps).unionAll(lines).select("ord", F.try_variant_get("r", "$.instance_id", "string").alias("instance_id"), F.to_json("r").alias("record")).filter("instance_id is not null")
+    maps = files.filter(kind.startswith("OBJECT") & F.try_variant_get("v", "$.instance_id", "string").isNull()).select(F.posexplode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("ord", "e"))
+    maps = maps.select("ord", "e.key", "e.value").filter(F.schema_of_variant("value").startswith("OBJECT"))  # the key is the id, whatever the record says
+    lines = files.filter("by_line").select(F.posexplode(F.split("content", "\r?\n")).alias("ord", "line")).select("ord", F.try_parse_json("line").alias("r")).filter("r is not null")
+    rows = lists.unionAll(one).unionAll(lines).select("ord", F.try_variant_get("r", "$.instance_id", "string").alias("instance_id"), F.to_json("r").alias("record"))
+    rows = rows.unionAll(maps.select("ord", "key", F.to_json("value"))).filter("instance_id is not null")
     pick = F.min_by if first_wins else F.max_by
     return rows.groupBy("instance_id").agg(pick("record", "ord").alias("record"))
 
