@@ -10,14 +10,22 @@ from runlens.functions.ids import scope_key
 SPECIFICITY = {"function": 3, "class": 2, "file": 1}
 
 
+#: Lines of a bin.
+BIN = 32
+
+
 def align(ranges: DataFrame, scopes: DataFrame) -> DataFrame:
     """Scopes hit by each (range_id, filepath, start_line, end_line); no hit or a null range gives the bare file.
 
-    An equi join on the file with the overlap as residual; a class counts only where none of its
-    methods was hit; the left join's default is the file itself.
+    An equi join on the file and a bin of lines: both sides are listed in each bin they touch, and a pair counts in its
+    first common bin alone. A class counts only where none of its methods was hit; the left join's default is the file itself.
     """
+    first_bin = lambda c: F.floor(F.col(c) / BIN)
+    bins = lambda a, b: F.explode(F.when(F.col(a) <= F.col(b), F.sequence(first_bin(a), first_bin(b)))).alias("bin")
     s = scopes.select("filepath", F.col("class_name").alias("c"), F.col("function_name").alias("f"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    hits = ranges.filter("start_line is not null and end_line is not null").join(s, "filepath").filter("s <= end_line and start_line <= e")
+    asked = ranges.filter("start_line is not null and end_line is not null")
+    hits = asked.select("*", bins("start_line", "end_line")).join(s.select("*", bins("s", "e")), ["filepath", "bin"]).filter("s <= end_line and start_line <= e")
+    hits = hits.filter(F.col("bin") == F.greatest(first_bin("start_line"), first_bin("s")))
     w = Window.partitionBy("range_id", "c")
     kept = hits.withColumn("methods", F.when(F.col("c").isNotNull(), F.count("f").over(w)).otherwise(0)).filter("f is not null or methods = 0")
     kept = kept.select("range_id", "c", "f").distinct()

@@ -53,7 +53,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(rf"""
 WITH i AS (SELECT doc_id, source AS repo, doc_id AS num, {_TOKENS} AS t FROM documents),
-q AS (SELECT b.item_id, r.repo, b.item_id * 20 AS now, {_TOKENS.replace('text', 'b.text')} AS t FROM benchmark b, (VALUES ('src1'), ('src2')) r(repo)),
+q AS (SELECT item_id, 'src' || (item_id % 20) AS repo, item_id * 20 AS now, {_TOKENS} AS t FROM benchmark),
 c AS (SELECT q.item_id, q.repo, count(*) AS n, avg(len(i.t)) AS a FROM q JOIN i ON i.repo = q.repo AND i.num <= q.now GROUP BY ALL),
 qt AS (SELECT item_id, repo, now, token, count(*) AS qn FROM (SELECT item_id, repo, now, unnest(t) AS token FROM q) GROUP BY ALL),
 p AS (SELECT doc_id, repo, num, len, token, count(*) AS tf FROM (SELECT doc_id, repo, num, len(t) AS len, unnest(t) AS token FROM i) GROUP BY ALL),
@@ -62,7 +62,7 @@ SELECT item_id, qt.repo AS repo, doc_id, round(sum(qn * ln((n - df + 0.5) / (df
 FROM qt JOIN p USING (repo, token) JOIN d USING (item_id, repo, token) JOIN c USING (item_id, repo) WHERE num <= now GROUP BY ALL""")
 def bm25_asof(spark, sf_dir):
     items = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"), F.col("doc_id").alias("num"), "text")
-    q = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.array(F.lit("src1"), F.lit("src2"))).alias("repo"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", "text", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("repo"))
     q = q.select(F.concat_ws("|", F.col("item_id").cast("string"), "repo").alias("query_id"), "repo", (F.col("item_id") * 20).alias("num"), "text")
     part = F.split("query_id", r"\|")
     return retrieval.scores_as_of(items, q).select(long(part[0]).alias("item_id"), part[1].alias("repo"), "doc_id", F.round("score", 6).alias("score"))
@@ -122,11 +122,11 @@ def repo_aggregate(spark, sf_dir):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce('s' || b.toxic, 'p' || a.quality) AS value
-FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 3 > 0) a FULL JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 2 > 0) b ON a.doc_id = b.doc_id""")
+FROM (SELECT doc_id, quality FROM labels) a FULL JOIN (SELECT doc_id, toxic FROM labels WHERE toxic = 1) b ON a.doc_id = b.doc_id""")
 def merge_override(spark, sf_dir):
     l = table(spark, sf_dir, "labels")
     v = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("value")
-    return skills.override(l.filter("doc_id % 3 > 0").select("doc_id", v("p", "quality")), l.filter("doc_id % 2 > 0").select("doc_id", v("s", "toxic")), "doc_id", "value")
+    return skills.override(l.select("doc_id", v("p", "quality")), l.filter("toxic = 1").select("doc_id", v("s", "toxic")), "doc_id", "value")
 
 
 def _messages(spark, sf_dir):
@@ -180,13 +180,13 @@ def access_rank(spark, sf_dir):
 
 
 @query(f"""WITH s AS (SELECT p_brand AS filepath, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'C' || (p_partkey % 7) END AS c, CASE WHEN p_partkey % 3 = 1 THEN NULL ELSE 'f' || (p_partkey % 11) END AS f, p_size AS a, p_size + 9 AS z FROM part),
-r AS (SELECT event_id, 'Brand#' || (11 + user_id % 5) AS filepath, k AS x, k + 5 AS y FROM {_EV} WHERE k < 40),
+r AS (SELECT event_id, 'Brand#' || (11 + user_id % 5) AS filepath, k AS x, k + 5 AS y FROM {_EV}),
 h AS (SELECT DISTINCT event_id, c, f FROM (SELECT event_id, c, f, count(f) OVER (PARTITION BY event_id, c) AS m FROM r JOIN s USING (filepath) WHERE a <= y AND x <= z) WHERE f IS NOT NULL OR (c IS NOT NULL AND m = 0) OR c IS NULL)
 SELECT r.event_id AS event_id, concat_ws('::', filepath, c, f) AS scope_key FROM r LEFT JOIN h USING (event_id)""")
 def scope_overlap(spark, sf_dir):
     p = F.col("p_partkey")
     s = table(spark, sf_dir, "part").select(F.col("p_brand").alias("filepath"), F.when(p % 3 != 0, F.concat(F.lit("C"), (p % 7).cast("string"))).alias("class_name"), F.when(p % 3 != 1, F.concat(F.lit("f"), (p % 11).cast("string"))).alias("function_name"), F.col("p_size").alias("start_line"), (F.col("p_size") + 9).alias("end_line"))
-    r = _events(spark, sf_dir).filter("k < 40").select(F.col("event_id").alias("range_id"), F.concat(F.lit("Brand#"), (11 + F.col("user_id") % 5).cast("string")).alias("filepath"), F.col("k").alias("start_line"), (F.col("k") + 5).alias("end_line"))
+    r = _events(spark, sf_dir).select(F.col("event_id").alias("range_id"), F.concat(F.lit("Brand#"), (11 + F.col("user_id") % 5).cast("string")).alias("filepath"), F.col("k").alias("start_line"), (F.col("k") + 5).alias("end_line"))
     return scopes.align(r, s).select(F.col("range_id").alias("event_id"), "scope_key")
 
 
@@ -200,12 +200,12 @@ def line_islands(spark, sf_dir):
 
 
 @query(_ISLANDS + f""", s AS (SELECT user_id, min(k) AS lo, max(k) AS hi FROM {_EV} GROUP BY user_id),
-f AS (SELECT p_partkey % 50 AS user_id, p_size AS a, p_size + p_partkey % 150 AS z FROM part WHERE p_partkey % 4 = 0),
+f AS (SELECT p_partkey % 50 AS user_id, p_size AS a, p_size + p_partkey % 150 AS z FROM part),
 c AS (SELECT user_id, a::BIGINT AS start_line, z::BIGINT AS end_line, 'function' AS kind FROM f JOIN s USING (user_id) WHERE a <= hi AND z >= lo AND z - a + 1 <= 120)
 SELECT * FROM c UNION ALL SELECT user_id, start_line, end_line, 'block' FROM b WHERE user_id NOT IN (SELECT user_id FROM c)""")
 def segment_policy(spark, sf_dir):
     p = F.col("p_partkey")
-    f = table(spark, sf_dir, "part").filter("p_partkey % 4 = 0").select((p % 50).alias("user_id"), long("p_size").alias("start_line"), (F.col("p_size") + p % 150).alias("end_line"))
+    f = table(spark, sf_dir, "part").select((p % 50).alias("user_id"), long("p_size").alias("start_line"), (F.col("p_size") + p % 150).alias("end_line"))
     return scopes.segments(_events(spark, sf_dir).select("user_id", F.col("k").alias("line")), f, ["user_id"])
 
 
@@ -314,14 +314,14 @@ def preds_upsert(spark, sf_dir):
 
 
 _INJECT = f"""SELECT user_id AS run_id, 'f' || (k % 20) || '.py::g' AS api_path, min(event_id) AS pos FROM {_EV}
-WHERE k % 20 IN (SELECT doc_id % 20 FROM labels WHERE quality = 0 AND doc_id % 20 < 12) GROUP BY ALL"""
+WHERE k % 20 IN (SELECT doc_id % 20 FROM labels WHERE quality = 0) GROUP BY ALL"""
 
 
 @query(_INJECT)
 def inject_once(spark, sf_dir):
     path = lambda c: F.concat(F.lit("f"), (F.col(c) % 20).cast("string"), F.lit(".py"))
     mentions = _events(spark, sf_dir).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("pos"), path("k").alias("filepath"))
-    l = table(spark, sf_dir, "labels").filter("doc_id % 20 < 12")
+    l = table(spark, sf_dir, "labels")
     items = l.select(F.concat(path("doc_id"), F.lit("::g")).alias("api_path"), F.col("doc_id").alias("source_instance_id"))
     return skills.first_injections(mentions, items, l.filter("quality = 0").select(F.col("doc_id").alias("source_instance_id")))
 
