@@ -2,6 +2,12 @@
 
 Every stage but the last returns the columns of ``documents``; each result is written as Parquet in the
 shared folder and read again, so a lost executor costs the tasks of one stage at most.
+
+Defined results, for every stage: an empty table gives an empty one; columns beyond those of ``documents`` are dropped, whatever their
+names; texts of any length are read whole. Null and empty texts go in the first stage (they have no language); where a stage gets
+them all the same, line dedup, near copies and personal data keep them and packing gives them their closing id. Rows that repeat a
+doc_id or have a null one are rows of their own, but for line dedup, where those of one id share their decisions. Of equal
+lines the first by (doc_id, position) stays, of equal documents the row with the least doc_id, of equal ids one of them.
 """
 
 from __future__ import annotations
