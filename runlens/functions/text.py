@@ -217,3 +217,48 @@ def lenient_json(text: Column, top: str) -> Column:
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     typed = lambda v: F.when(F.schema_of_variant(v).startswith(top), v)
     return F.coalesce(typed(F.try_parse_json(text)), typed(F.try_parse_json(fenced)))
+
+
+def _typed(v: Column, top: str) -> Column:
+    return F.when(F.schema_of_variant(v).startswith(top), v)
+
+
+def rankings(response: Column) -> Column:
+    """array<variant>: the list in the first json fence, else from the first ``[`` to the last ``]``; empty where neither is one."""
+    fenced = F.regexp_extract(response, r"(?s)```json\s*(.*?)\s*```", 1)
+    span = F.regexp_extract(response, r"(?s)\[.*\]", 0)
+    found = F.coalesce(_typed(F.try_parse_json(fenced), "ARRAY"), _typed(F.try_parse_json(span), "ARRAY"))
+    return F.coalesce(F.try_variant_get(found, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def says_resolved(response: Column) -> Column:
+    """Whether the object from the first ``{`` to the last ``}`` has a ``resolved`` that counts as true; false where none can be read."""
+    v = F.try_variant_get(F.try_parse_json(F.regexp_extract(response, r"(?s)\{.*\}", 0)), "$.resolved", "variant")
+    kind = F.schema_of_variant(v)
+    number = F.coalesce(F.try_variant_get(v, "$", "double") != 0, F.lit(False))
+    true = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind == "STRING", F.try_variant_get(v, "$", "string") != "").when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(v).isin("[]", "{}"))
+    return F.coalesce(true.when(kind == "VOID", F.lit(False)).otherwise(number), F.lit(False))
+
+
+def test_description(response: Column) -> Column:
+    """struct(purpose, scenario, expected_behavior): of a JSON object, else the text as purpose alone."""
+    v = F.try_parse_json(response)
+    fields = ("purpose", "scenario", "expected_behavior")
+    return F.when(v.isNull(), F.struct(response.alias("purpose"), F.lit("").alias("scenario"), F.lit("").alias("expected_behavior"))).otherwise(F.struct(*(F.try_variant_get(v, f"$.{k}", "string").alias(k) for k in fields)))
+
+
+def unnested(v: Column) -> Column:
+    """A variant whose string holds JSON, decoded; other values as they are."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+
+
+def synthetic_id(owner: Column, name: Column, original: Column, at: Column) -> Column:
+    """``<owner>__<name>-`` and what follows the last ``__`` of the original id, else a time as 14 digits."""
+    tail = F.coalesce(F.substring_index(original, "__", -1), F.date_format(at, "yyyyMMddHHmmss"))
+    return F.concat(owner, F.lit("__"), name, F.lit("-"), tail)
+
+
+def asks_confirmation(action: Column, mode: Column, whitelist: tuple[str, ...] = ()) -> Column:
+    """In confirm mode, whether no pattern of the whitelist matches at the action's start."""
+    known = action.rlike("^(?:" + "|".join(f"(?:{p})" for p in whitelist) + ")") if whitelist else F.lit(False)
+    return (mode == "confirm") & ~known

@@ -29,6 +29,11 @@ def select_instances(rows: DataFrame, key: str = "instance_id", ids: DataFrame |
     return ranked.drop("_i")
 
 
+def containing(rows: DataFrame, part: str, key: str = "instance_id") -> DataFrame:
+    """Rows whose id holds ``part``; an empty one keeps all."""
+    return rows.filter(F.col(key).contains(part)) if part else rows
+
+
 def not_done(rows: DataFrame, done: DataFrame, key: str = "instance_id") -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.ids import scope_key
+from runlens.functions.text import is_source_file, is_test_file
 
 SPECIFICITY = {"function": 3, "class": 2, "file": 1}
 
@@ -79,3 +80,17 @@ def python_coverage(reports: DataFrame) -> DataFrame:
     """(file, line) from coverage.py's JSON in column ``value``; test files are left out."""
     files = reports.select(F.explode(F.from_json("value", "struct<files:map<string,struct<executed_lines:array<int>>>>")["files"]).alias("file", "r"))
     return files.filter(~F.col("file").rlike(r"test_|tests/|_test\.py")).select("file", F.explode("r.executed_lines").alias("line")).distinct()
+
+
+def candidate_files(accessed: DataFrame, extra: DataFrame, key: str = "instance_id") -> DataFrame:
+    """(key, filepath): accessed and further files, once each, that are source and not tests."""
+    both = accessed.select(key, "filepath").union(extra.select(key, "filepath"))
+    return both.filter(is_source_file(F.col("filepath")) & ~is_test_file(F.col("filepath"))).distinct()
+
+
+def access_counts(aligned: DataFrame, extra: DataFrame, key: str = "instance_id") -> DataFrame:
+    """(key, scope_key, count) of accesses (key, filepath, scope_key) to source files; further files enter with 0."""
+    wanted = is_source_file(F.col("filepath")) & ~is_test_file(F.col("filepath"))
+    seen = aligned.filter(wanted).select(key, "scope_key", F.lit(1).alias("n"))
+    more = extra.filter(wanted).select(key, F.col("filepath").alias("scope_key"), F.lit(0).alias("n"))
+    return seen.union(more).groupBy(key, "scope_key").agg(F.sum("n").alias("count"))

@@ -106,3 +106,36 @@ def valid_global(rows: DataFrame) -> DataFrame:
     whole = lambda s: s["purpose"].isNotNull() & s["playbook"].isNotNull() & s["thinking"].isNotNull() & s["related_apis"].isNotNull()
     ok = F.forall(items, lambda s: _known(s["api_path"]) & whole(s) & F.forall(s["related_apis"], lambda r: _known(r["api_path"]) & r["reason"].isNotNull()))
     return rows.withColumn("items", F.when(ok & (F.size(items) > 0), items))
+
+
+# The kinds of a synthesized experience, current and older.
+SYNTHESIZED = ("synthesized_experience", "domain2")
+
+
+def is_synthesized(kind: Column) -> Column:
+    return F.coalesce(kind.isin(*SYNTHESIZED), F.lit(False))
+
+
+def with_source_ids(items: DataFrame, local: bool) -> DataFrame:
+    """Items with the id they are admitted by filled in from ``record_id`` where they lack it.
+
+    Local ones get ``instance_id``, or where the record has none their ``source_instance_id``; global ones ``source_instance_id``.
+    """
+    record = F.nullif(F.col("record_id"), F.lit(""))
+    if local:
+        return items.withColumn("instance_id", F.coalesce("instance_id", record, F.col("source_instance_id")))
+    return items.withColumn("source_instance_id", F.coalesce("source_instance_id", record))
+
+
+def published(items: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """Items without their ids; local ones, given ``selected`` ids, only of those."""
+    if selected is not None:
+        items = items.join(selected.select("instance_id").distinct(), "instance_id", "left_semi")
+    return items.drop("source_instance_id", "instance_id")
+
+
+def with_golden(runs: DataFrame, golden: DataFrame, key: str = "instance_id", strict: bool = True) -> DataFrame:
+    """Runs with their golden records; a run without one ends the query if ``strict``, else its fields are null."""
+    found = runs.join(golden.withColumn("_found", F.lit(True)), key, "left")
+    known = F.when(F.col("_found"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no golden record for "), F.col(key).cast("string"))).cast(runs.schema[key].dataType))
+    return (found.withColumn(key, known) if strict else found).drop("_found")

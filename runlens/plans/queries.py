@@ -2,36 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import code, text
 from runlens.functions.ids import number_of, repo_of, scope_key, scope_kind
 from runlens.operators import retrieval, runs, scopes, skills, trajectories
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def long(c) -> F.Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("bigint")
-
+from runlens.plans.registry import long, query, table
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 

@@ -116,3 +116,61 @@ def call_log_markdown(calls: DataFrame) -> DataFrame:
     """One Markdown section per recorded call, ordered by instance and kind."""
     body = F.concat(F.lit("## "), "instance_id", F.lit(" ("), "kind", F.lit(")\n\n- model: "), F.coalesce("model", F.lit("")), F.lit("\n\n"), F.coalesce("output", F.lit("")), F.lit("\n"))
     return calls.orderBy("instance_id", "kind").select(body.alias("value"))
+
+
+def folder_names(spark: SparkSession, root: str) -> DataFrame:
+    """instance_id of every sub-directory, empty ones too; one listing of the folder's entries."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return spark.createDataFrame([(e.getPath().getName(),) for e in entries if e.isDirectory()], "instance_id string")
+
+
+def trajectory_documents(runs: DataFrame, form: str = "trajectory-1") -> DataFrame:
+    """(instance_id, value): one JSON document a run, of (instance_id, exit_status, submission, instance_cost, api_calls, messages), with ``extra``
+    (a struct) merged into its info where the column is there; of equal names the extra one stands."""
+    stats = F.struct(F.coalesce("instance_cost", F.lit(0.0)).alias("instance_cost"), F.coalesce("api_calls", F.lit(0)).alias("api_calls"))
+    info = {"exit_status": F.col("exit_status"), "submission": F.col("submission"), "model_stats": stats}
+    if "extra" in runs.columns:
+        info |= {name: F.col(f"extra.{name}") for name in runs.schema["extra"].dataType.names}
+    doc = F.struct(F.struct(*(c.alias(name) for name, c in info.items())).alias("info"), "messages", F.lit(form).alias("trajectory_format"), "instance_id")
+    return runs.select("instance_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def save_trajectories(runs: DataFrame, path: str, form: str = "trajectory-1") -> None:
+    """A folder per instance; saving again replaces only the folders of the given runs, so a run in progress can be saved after each step."""
+    trajectory_documents(runs, form).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instance_id").text(path)
+
+
+def status_yaml(rows: DataFrame, status: str, key: str, arrival: str) -> DataFrame:
+    """Lines of a YAML report of the ids by status, in order; every string is quoted, so any id is valid."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(F.col(c).cast("string"))), r"^\[|\]\z", "")
+    heads = rows.select(F.col(status).alias("s"), F.lit(None).cast("string").alias("k"), F.lit(None).cast(rows.schema[arrival].dataType).alias("a"), F.concat(F.lit("    "), quoted(status), F.lit(":")).alias("value")).distinct()
+    ids = rows.select(F.col(status).alias("s"), F.col(key).cast("string").alias("k"), F.col(arrival).alias("a"), F.concat(F.lit("    - "), quoted(key)).alias("value"))
+    top = rows.limit(1).select(F.lit(0).alias("o"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("k"), F.lit(None).cast(rows.schema[arrival].dataType).alias("a"), F.lit("instances_by_exit_status:").alias("value"))
+    body = heads.withColumn("o", F.lit(1)).unionByName(ids.withColumn("o", F.lit(1)))
+    return top.unionByName(body).orderBy("o", "s", F.col("k").isNotNull(), "a", "k").select("value")
+
+
+#: Artefacts of a synthesis run, by their place in it.
+PHASES = ("trace", "segments", "rankings", "attempts", "issue", "instance")
+
+
+def write_phase(df: DataFrame, root: str, phase: str) -> None:
+    """A phase's rows, with their ``run_id``, as JSON in <root>/<number>_<phase>/run_id=..; only the given runs are replaced."""
+    number = PHASES.index(phase) + 1
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{root}/{number:02}_{phase}")
+
+
+def metadata_files(instances: DataFrame) -> DataFrame:
+    """(instance_id, name, value) of (instance_id, record, test_patch, patch): the record, and each patch that isn't null.
+
+    A patch that is a JSON list is kept as one, any other text as it is.
+    """
+    patch = lambda c: F.when(F.col(c).startswith("["), F.coalesce(F.to_json(F.try_parse_json(c)), F.col(c))).otherwise(F.col(c))
+    named = F.array(*(F.struct(F.lit(name).alias("name"), c.alias("value")) for name, c in (("instance_data.json", F.col("record")), ("test.patch", patch("test_patch")), ("fix.patch", patch("patch")))))
+    return instances.select("instance_id", F.inline(named)).filter("value is not null")
+
+
+def write_metadata(instances: DataFrame, path: str) -> None:
+    """The files of ``metadata_files`` below <path>/instance_id=../name=..."""
+    metadata_files(instances).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instance_id", "name").text(path)

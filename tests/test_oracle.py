@@ -5,7 +5,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from runlens.plans.queries import ORACLE_SQL, QUERIES
+from runlens.plans import queries, skill_queries  # noqa: F401  their import registers
+from runlens.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
