@@ -163,18 +163,22 @@ def decode(media: bytes) -> dict[int, Logical]:
 
 
 def timestamps(stream: Logical, rate: int = RATE) -> list[int]:
-    """Microseconds at which each data packet ends.
+    """Microseconds at which each data packet ends, from the granule positions of the stream's pages.
 
-    A page's granule position counts the samples up to the last packet that ends on it; packets
-    before that one on the page are placed by their sizes, one sample a byte.
+    A page's granule position is the end of the last packet that ends on it. Packets before that one on the
+    page end where the one after them begins (one sample a byte); a stream may begin at any sample. Where
+    two pages don't meet, or the last packet has no position, the stream is damaged.
     """
-    out, samples = [], 0
-    for data, granule in zip(stream.packets[1:], stream.granules[1:], strict=True):
-        samples += len(data)
-        if granule >= 0 and granule != samples:
-            raise OggError(f"granule position {granule} at sample {samples}")
-        out.append(samples * 1_000_000 // rate)
-    return out
+    ends, at = [], None
+    for data, granule in zip(reversed(stream.packets[1:]), reversed(stream.granules[1:]), strict=True):
+        if granule >= 0 and at is not None and granule != at:
+            raise OggError(f"granule position {granule} where the next packet begins at {at}")
+        at = granule if granule >= 0 else at
+        if at is None or at < len(data):
+            raise OggError("packets without a granule position, or before the first sample")
+        ends.append(at * 1_000_000 // rate)
+        at -= len(data)
+    return ends[::-1]
 
 
 def read_payload(media: bytes) -> tuple[bytes, str]:
