@@ -3,14 +3,15 @@
 Every document is tokenised and ends with a separator id. Overlong documents are first cut
 into full windows; the remainders go, longest first, into the open window with the least
 room that still takes them, found in a segment tree indexed by remaining room. Remainders are
-dealt to shards by a hash of doc_id; the shards' number follows the rows, so no task grows
-with the input, and each shard leaves at most a few windows open.
+dealt to shards by a hash of their row; the shards' number follows the rows, so no task grows
+with the input, however often an id repeats, and each shard leaves at most a few windows open.
 
 Padding is what a sequence lacks to ``capacity``, nothing where its length is a power of two.
 
 Defined results: a null or empty text is one piece with the separator alone; a document's
 pieces follow each other without gaps; rows that repeat a doc_id are packed each on their
-own; equal inputs give equal sequences on every run; an empty table gives an empty result.
+own, and so are those without one; which sequence a piece is in may vary with the layout of the
+input's files, the pieces never do; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -181,11 +182,13 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     pieces = scratch.cut(cut(docs, path, capacity, end_id))
     shards = max(1, -(-pieces.count() // shard_pieces))
 
-    def run(key, pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        where, offset = best_fit_decreasing(pdf["length"].tolist(), capacity)
-        base = int(key[0]) << 40
-        return pdf.drop(columns="shard").assign(sequence_id=[base + w for w in where], offset=offset)
+    def run(key: tuple, held: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        held = held.drop_columns(["shard"]).sort_by(order)
+        where, offset = best_fit_decreasing(held["length"].to_pylist(), capacity)
+        base = key[0].as_py() << 40
+        return held.append_column("sequence_id", pa.array([base + w for w in where], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(run, OUT)
+    # the row of the written table deals rows that repeat an id, or have none, to all shards
+    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards)))
+    return sharded.groupBy("shard").applyInArrow(run, OUT)
