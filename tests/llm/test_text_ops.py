@@ -76,6 +76,19 @@ def test_ogg_damage_and_timestamps():
     assert total == len(ogg_media.pad(b"z" * 200_000))
 
 
+def test_ogg_timestamps_follow_the_granule_positions():
+    def ends(granules, sizes=(100, 200, 300)):
+        return ogg_media.timestamps(ogg_media.Logical(1, [b"head", *map(bytes, sizes)], [0, *granules]), rate=1_000)
+
+    assert ends([100, 300, 600]) == [100_000, 300_000, 600_000]
+    assert ends([-1, -1, 600]) == [100_000, 300_000, 600_000]
+    assert ends([-1, 1300, 1600]) == [1_100_000, 1_300_000, 1_600_000]  # a stream cut from a longer one
+    assert ends([], ()) == []
+    for bad in ([100, 300, 601], [-1, 301, 600], [100, 300, -1], [-1, -1, 599]):
+        with pytest.raises(ogg_media.OggError):
+            ends(bad)
+
+
 def test_op1(spark, hard):
     for df in (docs(spark), hard):
         got = rows(ogg_media.store(df))
@@ -266,6 +279,25 @@ def test_op6(spark, hard):
     assert token_packing.pack(hard.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_of_repeated_and_missing_ids(spark):
+    big = (1 << 60) + 1
+    data = [(None, f"word {i} and more") for i in range(60)] + [(7, "the same text")] * 60 + [(big, "one"), (big, None)]
+    found = token_packing.pack(spark.createDataFrame(data, "doc_id bigint, text string"), P.path("word_bpe_49k.json"), capacity=16, shard_pieces=20).collect()
+    whole = [r for r in found if r.start == 0]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in whole) == sorted((i is None, i or 0) for i, _ in data)
+    for same in (lambda r: r.doc_id is None, lambda r: r.doc_id == 7):
+        assert len({r.sequence_id >> 40 for r in found if same(r)}) > 3  # no shard takes all rows of one id
+    held = {}
+    for r in found:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in held.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 16
+
+
 def test_word_ids_random_against_library():
     tok, rng = token_packing.WordTokenizer(P.path("word_bpe_49k.json")), random.Random(4)
     assert tok.splits
