@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from runlens.plans import queries, skill_queries  # noqa: F401  their import registers
+from runlens.plans import queries, skill_queries, text_queries  # noqa: F401  their import registers
 from runlens.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
