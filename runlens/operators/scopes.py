@@ -18,19 +18,28 @@ BIN = 32
 def align(ranges: DataFrame, scopes: DataFrame) -> DataFrame:
     """Scopes hit by each (range_id, filepath, start_line, end_line); no hit or a null range gives the bare file.
 
+    Every distinct set of spans is aligned once with every distinct scope, then each range takes the scopes of its set,
+    so the joins grow with the kinds of ranges and the rows with the result. The spans of rows that share a range_id are one set.
     An equi join on the file and a bin of lines: both sides are listed in each bin they touch, and a pair counts in its
     first common bin alone. A class counts only where none of its methods was hit; the left join's default is the file itself.
     """
     first_bin = lambda c: F.floor(F.col(c) / BIN)
-    bins = lambda a, b: F.explode(F.when(F.col(a) <= F.col(b), F.sequence(first_bin(a), first_bin(b)))).alias("bin")
-    s = scopes.select("filepath", F.col("class_name").alias("c"), F.col("function_name").alias("f"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    asked = ranges.filter("start_line is not null and end_line is not null")
-    hits = asked.select("*", bins("start_line", "end_line")).join(s.select("*", bins("s", "e")), ["filepath", "bin"]).filter("s <= end_line and start_line <= e")
-    hits = hits.filter(F.col("bin") == F.greatest(first_bin("start_line"), first_bin("s")))
-    w = Window.partitionBy("range_id", "c")
-    kept = hits.withColumn("methods", F.when(F.col("c").isNotNull(), F.count("f").over(w)).otherwise(0)).filter("f is not null or methods = 0")
-    kept = kept.select("range_id", "c", "f").distinct()
-    return ranges.join(kept, "range_id", "left").select("range_id", "filepath", F.col("c").alias("class_name"), F.col("f").alias("function_name"), scope_key(F.col("filepath"), F.col("c"), F.col("f")).alias("scope_key"))
+    bins = lambda a, b: F.explode(F.sequence(first_bin(a), first_bin(b))).alias("bin")
+    s = scopes.select("filepath", F.col("class_name").alias("c"), F.col("function_name").alias("f"), F.col("start_line").alias("s"), F.col("end_line").alias("e")).filter("s <= e").distinct()
+    span = F.when(F.expr("range_id is not null and filepath is not null and start_line <= end_line"), F.struct("filepath", "start_line", "end_line"))
+    apart = F.when(F.col("range_id").isNull(), F.xxhash64("filepath", "start_line", "end_line"))  # null ids share nothing: not in one task
+    w = Window.partitionBy("range_id", apart)
+    asked = ranges.select("range_id", "filepath", F.array_sort(F.collect_set(span).over(w)).alias("spans"))
+    kinds = asked.filter(F.size("spans") > 0).select("spans", F.col("filepath").alias("path")).distinct()
+    each = kinds.select("spans").distinct().select("spans", F.inline("spans"))
+    hits = each.select("*", bins("start_line", "end_line")).join(s.select("*", bins("s", "e")), ["filepath", "bin"]).filter("s <= end_line and start_line <= e")
+    hits = hits.filter(F.col("bin") == F.greatest(first_bin("start_line"), first_bin("s"))).select("spans", "c", "f").distinct()
+    of_class = Window.partitionBy("spans", "c")
+    kept = hits.withColumn("methods", F.when(F.col("c").isNotNull(), F.count("f").over(of_class)).otherwise(0)).filter("f is not null or methods = 0")
+    kept = kept.join(kinds, "spans").groupBy("spans", "path").agg(F.collect_list(F.struct(F.col("c").alias("class_name"), F.col("f").alias("function_name"), scope_key(F.col("path"), F.col("c"), F.col("f")).alias("scope_key"))).alias("hits"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("class_name"), F.lit(None).cast("string").alias("function_name"), scope_key(F.col("filepath"), F.lit(None), F.lit(None)).alias("scope_key")))
+    rows = asked.join(kept, (asked["spans"] == kept["spans"]) & asked["filepath"].eqNullSafe(kept["path"]), "left")
+    return rows.select("range_id", "filepath", F.inline(F.coalesce("hits", none)))
 
 
 def rank_candidates(counts: DataFrame, most: int = 200, key: str = "instance_id") -> DataFrame:
