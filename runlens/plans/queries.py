@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import code, text
 from runlens.functions.ids import number_of, repo_of, scope_key, scope_kind
-from runlens.operators import retrieval, runs, scopes, skills, trajectories
+from runlens.operators import copies, retrieval, runs, scopes, skills, trajectories
 from runlens.plans.registry import long, query, table
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -198,9 +198,8 @@ def resolved_chain(spark, sf_dir):
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM t a JOIN t b ON a.source = b.source AND a.bucket = b.bucket AND a.doc_id < b.doc_id WHERE len(a.w) > 0 AND len(b.w) > 0)
 SELECT a, b FROM p WHERE i / (n - i) >= 0.75""")
 def copy_check(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", "source", F.floor(F.col("n_chars") / 50).alias("bucket"), text.copy_tokens(F.col("text")).alias("w"))
-    x, y = t.select(F.col("doc_id").alias("a"), "source", "bucket", F.col("w").alias("wa")), t.select(F.col("doc_id").alias("b"), "source", "bucket", F.col("w").alias("wb"))
-    return x.join(y, ["source", "bucket"]).filter("a < b").filter(text.jaccard(F.col("wa"), F.col("wb")) >= 0.75).select("a", "b")
+    part = F.when(F.col("source").isNotNull() & F.col("n_chars").isNotNull(), F.struct("source", F.floor(F.col("n_chars") / 50).alias("bucket")))
+    return copies.near_pairs(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), part.alias("part"), text.copy_tokens(F.col("text")).alias("tokens")), 0.75)
 
 
 _MARKED = "concat('# Title', chr(10), 'See https://x.example/a?b=1 and ', text, chr(10), '**Bold**', chr(10), 'Thanks all', chr(10), '## More ', chr(10), 'end')"

@@ -1,8 +1,11 @@
 """Work that must grow with the input and the result alone, told by the rows that the nodes of a plan put out."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from runlens.operators import scopes
+from runlens.operators import copies, scopes
+from runlens.plans import queries
 
 
 def ran(df):
@@ -37,3 +40,32 @@ def test_align_of_shared_and_missing_ids(spark):
     got = sorted((r.range_id or 0, r.scope_key) for r in scopes.align(ranges, parts).collect())
     one = [(1, f"{p}::{k}") for p in "abb" for k in ("C::f", "g")]
     assert got == sorted([*one, (2, "a::C"), (2, "a::C"), (0, "a"), (3, ""), (4, "b::g")])
+
+
+def brute_pairs(rows, threshold):
+    alike = lambda a, b: a and b and len(a & b) / len(a | b) >= threshold
+    full = [(i, p, set(t)) for i, p, t in rows if i is not None and p is not None]
+    return sorted((a, b) for a, p, x in full for b, q, y in full if a < b and p == q and alike(x, y))
+
+
+def test_near_pairs_against_all_pairs(spark):
+    dealt = random.Random(5)
+    rows = []
+    for i in range(240):
+        if rows and dealt.random() < 0.6:
+            tokens = [t for t in dealt.choice(rows)[2] if dealt.random() < 0.95] + [f"n{i}"] * (dealt.random() < 0.5)
+        else:
+            tokens = [f"{'x' * dealt.randrange(1, 6)}{dealt.randrange(60)}" for _ in range(dealt.choice([0, 1, 2, 4, 30, 80]))]
+        rows.append((dealt.choice([i, i, i, i // 2, None]) if i % 9 == 0 else i, dealt.choice(["p", "q", "q", None]) if i % 7 == 0 else "p", sorted(set(tokens))))
+    df = spark.createDataFrame(rows, "id bigint, part string, tokens array<string>")
+    for threshold in (0.75, 0.8, 1.0):
+        got = sorted((r.a, r.b) for r in copies.near_pairs(df, threshold).collect())
+        assert got == brute_pairs(rows, threshold) and got
+
+
+def test_copy_check_does_not_meet_all_pairs(spark, tmp_path):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), F.col("id") * 10 + i)), F.lit("the of and"))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"), F.lit(60).alias("n_chars"))
+    docs.union(docs.filter("doc_id = 7").withColumn("doc_id", F.lit(1000))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows, most = ran(queries.copy_check(spark, str(tmp_path)))
+    assert [tuple(r) for r in rows] == [(7, 1000)] and most < 10_000
