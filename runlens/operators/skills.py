@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.ids import file_of, number_of, repo_of
@@ -46,11 +46,25 @@ def drop_leaks(items: DataFrame, eval_ids: DataFrame) -> DataFrame:
     return drop_temporal(drop_exact(items, eval_ids), eval_ids)
 
 
+#: Current instances that an item meets at once, and parts of a repository's items that go to tasks of their own.
+MET, SPREAD = 512, 64
+
+
 def admitted(items: DataFrame, current: DataFrame) -> DataFrame:
-    """(current_id, item): items of the current instance's repository numbered no later than it."""
-    now = current.select("current_id", repo_of(F.col("current_id")).alias("repo"), number_of(F.col("current_id")).alias("now"))
+    """(current_id, item): items of the current instance's repository numbered no later than it; their numbers as ``num`` and ``now``.
+
+    The result may be all pairs of a repository. Ids are read before they are paired; current instances lie in arrays of at most
+    ``MET`` in the order of their numbers, each met by an item only if its last is late enough, and a repository's items are dealt over tasks.
+    """
+    now = current.select("current_id", repo_of(F.col("current_id")).alias("repo"), number_of(F.col("current_id")).alias("now")).filter("repo is not null and now is not null")
+    w = Window.partitionBy("repo").orderBy("now")
+    listed = now.withColumn("_at", F.floor((F.row_number().over(w) - 1) / MET)).groupBy("repo", "_at").agg(F.array_sort(F.collect_list(F.struct("now", "current_id"))).alias("_met"))
+    listed = listed.select("repo", F.element_at("_met", -1)["now"].alias("_last"), "_met", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"))
     source = F.coalesce("original_instance_id", "source_instance_id")
-    return items.withColumn("repo", repo_of(source)).withColumn("num", number_of(source)).join(now, "repo").filter("num <= now")
+    named = items.withColumn("repo", repo_of(source)).withColumn("num", number_of(source))
+    named = named.withColumn("_part", F.pmod(F.xxhash64(*items.columns), F.lit(SPREAD)).cast("int")).repartition(4 * SPREAD, "repo", "_part")
+    met = named.join(listed, ["repo", "_part"]).filter("num <= _last")
+    return met.select("repo", *items.columns, "num", F.inline("_met")).filter("num <= now").select("repo", *items.columns, "num", "current_id", "now")
 
 
 def first_injections(mentions: DataFrame, items: DataFrame, selected: DataFrame) -> DataFrame:

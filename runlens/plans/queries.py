@@ -308,7 +308,7 @@ def temporal_admission(spark, sf_dir):
     name = lambda c: F.concat("source", F.lit("-"), c.cast("string"))
     items = docs.select(F.col("doc_id").alias("item_id"), name(F.floor(F.col("doc_id") / 2)).alias("original_instance_id"), name(F.col("doc_id")).alias("source_instance_id"))
     now = docs.join(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id").select(name(F.col("doc_id")).alias("current_id"))
-    return skills.admitted(items, now).select(number_of(F.col("current_id")).alias("current_id"), "item_id")
+    return skills.admitted(items, now).select(F.col("now").alias("current_id"), "item_id")
 
 
 def _values(spark, rows: list[str], name: str = "value") -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from runlens.operators import copies, scopes
+from runlens.operators import copies, scopes, skills
 from runlens.plans import queries
 
 
@@ -69,3 +69,17 @@ def test_copy_check_does_not_meet_all_pairs(spark, tmp_path):
     docs.union(docs.filter("doc_id = 7").withColumn("doc_id", F.lit(1000))).write.parquet(f"{tmp_path}/documents.parquet")
     rows, most = ran(queries.copy_check(spark, str(tmp_path)))
     assert [tuple(r) for r in rows] == [(7, 1000)] and most < 10_000
+
+
+def test_admitted_deals_a_repository_over_tasks(spark):
+    items = spark.range(300).select(F.col("id").alias("item"), F.concat(F.lit("r-"), F.col("id").cast("string")).alias("source_instance_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("r-"), F.floor(F.col("id") / 2).cast("string"))).alias("original_instance_id"))
+    now = spark.range(600).select(F.when(F.col("id") != 9, F.concat(F.lit("r-"), (F.col("id") % 590).cast("string"))).alias("current_id"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = skills.admitted(items, now).select("item", "now", "current_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    num = lambda i: i // 2 if i % 2 == 0 else i
+    assert sorted((r.item, r.now) for r in got) == sorted((i, k % 590) for i in range(300) for k in range(600) if k != 9 and num(i) <= k % 590)
+    assert all(r.current_id == f"r-{r.now}" for r in got) and len({r.task for r in got}) > 8
