@@ -1,10 +1,11 @@
 """Work that must grow with the input and the result alone, told by the rows that the nodes of a plan put out."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from runlens.operators import copies, scopes, skills
+from runlens.operators import copies, retrieval, scopes, skills
 from runlens.plans import queries
 
 
@@ -83,3 +84,19 @@ def test_admitted_deals_a_repository_over_tasks(spark):
     num = lambda i: i // 2 if i % 2 == 0 else i
     assert sorted((r.item, r.now) for r in got) == sorted((i, k % 590) for i in range(300) for k in range(600) if k != 9 and num(i) <= k % 590)
     assert all(r.current_id == f"r-{r.now}" for r in got) and len({r.task for r in got}) > 8
+
+
+def test_bm25_holds_only_what_queries_ask(spark):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("r").alias("repo"), F.col("id").alias("num"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), F.col("id") * 100 + i))).alias("text"))
+    asked = spark.createDataFrame([("a", "r", 40, "w700 w4100"), ("b", "r", 5, "none")], "query_id string, repo string, num bigint, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        as_of = retrieval.scores_as_of(docs, asked)
+        assert [(r.query_id, r.doc_id) for r in as_of.collect()] == [("a", 7)]
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (as_of, retrieval.scores(docs, asked))]
+        got = sorted((r.query_id, r.rank, r.doc_id) for r in retrieval.top_k(docs, asked, 3).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert not re.search(r"SortMergeJoin \[repo#\w+, token", plans[0]) and plans[1].count("SortMergeJoin [token") <= 1  # postings meet sent rows
+    assert got == [("a", 1, 7), ("a", 2, 41), ("a", 3, 0), ("b", 1, 0), ("b", 2, 1), ("b", 3, 2)]
