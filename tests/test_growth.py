@@ -68,8 +68,10 @@ def test_copy_check_does_not_meet_all_pairs(spark, tmp_path):
     text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), F.col("id") * 10 + i)), F.lit("the of and"))
     docs = spark.range(400).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"), F.lit(60).alias("n_chars"))
     docs.union(docs.filter("doc_id = 7").withColumn("doc_id", F.lit(1000))).write.parquet(f"{tmp_path}/documents.parquet")
-    rows, most = ran(queries.copy_check(spark, str(tmp_path)))
+    df = queries.copy_check(spark, str(tmp_path))
+    rows, most = ran(df)
     assert [tuple(r) for r in rows] == [(7, 1000)] and most < 10_000
+    assert not re.search(r"Join \[source#", df._jdf.queryExecution().executedPlan().toString())  # nor a join by bucket alone, whose rows are told only after its condition
 
 
 def test_admitted_deals_a_repository_over_tasks(spark):
